@@ -49,13 +49,13 @@ WITH RECURSIVE node AS (
 _WALK = (
     _NODES
     + """, walk AS (
-  SELECT channel_id, message_id, parent AS at, [message_id] AS passed FROM link
+  SELECT channel_id, message_id, parent AS nxt, [message_id] AS passed FROM link
   UNION ALL
-  SELECT w.channel_id, w.message_id, l.parent, list_append(w.passed, w.at)
-  FROM walk w JOIN link l ON l.channel_id = w.channel_id AND l.message_id = w.at WHERE NOT list_contains(w.passed, w.at)
+  SELECT w.channel_id, w.message_id, l.parent, list_append(w.passed, w.nxt)
+  FROM walk w JOIN link l ON l.channel_id = w.channel_id AND l.message_id = w.nxt WHERE NOT list_contains(w.passed, w.nxt)
 ), last AS (
-  SELECT w.* FROM walk w LEFT JOIN link l ON l.channel_id = w.channel_id AND l.message_id = w.at
-  WHERE l.message_id IS NULL OR list_contains(w.passed, w.at)
+  SELECT w.* FROM walk w LEFT JOIN link l ON l.channel_id = w.channel_id AND l.message_id = w.nxt
+  WHERE l.message_id IS NULL OR list_contains(w.passed, w.nxt)
 )"""
 )
 ORACLES = {
@@ -63,14 +63,14 @@ ORACLES = {
     "p1_channels": f"SELECT channel_id, count(*) AS deliveries, CAST(sum(CASE WHEN rn = 1 OR message_id IS NULL OR channel_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM (SELECT channel_id, message_id, {_RANKED} FROM messages) GROUP BY channel_id",
     "p4_found": _WALK
     + """ SELECT channel_id, message_id,
-  CASE WHEN list_contains(passed, at) THEN list_min(passed[list_position(passed, at):]) ELSE at END AS root_id,
-  CAST(CASE WHEN list_contains(passed, at) THEN -1 ELSE len(passed) END AS BIGINT) AS depth FROM last""",
+  CASE WHEN list_contains(passed, nxt) THEN list_min(list_slice(passed, list_position(passed, nxt), len(passed))) ELSE nxt END AS root_id,
+  CAST(CASE WHEN list_contains(passed, nxt) THEN -1 ELSE len(passed) END AS BIGINT) AS depth FROM last""",
     "p4_paths": _WALK
     + """ SELECT n.channel_id, n.message_id,
-  CASE WHEN l.message_id IS NULL THEN CAST(n.message_id AS VARCHAR) WHEN list_contains(l.passed, l.at) THEN NULL
-  ELSE concat(l.at, '/', list_aggregate(list_reverse(l.passed), 'string_agg', '/')) END AS path
+  CASE WHEN l.message_id IS NULL THEN CAST(n.message_id AS VARCHAR) WHEN list_contains(l.passed, l.nxt) THEN NULL
+  ELSE concat(l.nxt, '/', list_aggregate(list_reverse(l.passed), 'string_agg', '/')) END AS path
   FROM node n LEFT JOIN last l ON l.channel_id = n.channel_id AND l.message_id = n.message_id""",
     "p4_descendants": _WALK
-    + """, ok AS (SELECT channel_id, message_id, list_append(passed, at) AS up FROM last WHERE NOT list_contains(passed, at)), steps AS (SELECT channel_id, message_id AS descendant_id, up, unnest(range(2, len(up) + 1)) AS k FROM ok)
+    + """, ok AS (SELECT channel_id, message_id, list_append(passed, nxt) AS up FROM last WHERE NOT list_contains(passed, nxt)), steps AS (SELECT channel_id, message_id AS descendant_id, up, unnest(range(2, len(up) + 1)) AS k FROM ok)
   SELECT channel_id, up[k] AS message_id, descendant_id, k - 1 AS distance FROM steps""",
 }
