@@ -190,7 +190,7 @@ def _pack(t: pa.Table) -> bytes:
 def _union(names: Sequence[str], out: pa.Schema):
     """Per shard: codes of the batch under the shard's dictionary, unseen bits, union of the new bits."""
 
-    def run(key, batch: pa.Table, state: pa.Table) -> pa.Table:
+    def run(key, batch, state):
         shard = key[0].as_py()
         old = pa.ipc.open_stream(state["keys"][0].as_py()).read_all() if state.num_rows else None
         new = batch.select(list(names)).combine_chunks()
