@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import deliveries
 from ..sources.tables import table
-from . import neardup
+from . import abuse, languages, leaks, lookalikes, mixing, neardup, personal, residue
 
 
 def _posts(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
@@ -23,5 +23,103 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _posts(spark, sf_dir).classes().select(F.col("id").alias("delivery_id"), "group_id")
 
 
-QUERIES = {f.__name__: f for f in (p7_found,)}
+def _vocabulary(spark: SparkSession, sf_dir: str):
+    texts = table(spark, sf_dir, "messages").select("text").unionByName(table(spark, sf_dir, "channels").select(F.col("title").alias("text")))
+    return lookalikes.vocabulary(texts, "text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vocabulary(spark, sf_dir)
+    texts = lookalikes.forms(table(spark, sf_dir, "messages"), ["delivery_id"], "text", v)
+    titles = lookalikes.forms(table(spark, sf_dir, "channels").select("id", "title").distinct(), ["id"], "title", v)
+    return lookalikes.pairs(lookalikes._prints(texts, "delivery_id", "text").unionByName(lookalikes._prints(titles, "id", "title")))
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text whose form differs from how it is written."""
+    f = lookalikes.forms(table(spark, sf_dir, "messages"), ["delivery_id"], "text", _vocabulary(spark, sf_dir))
+    return f.where("text <> form").select("delivery_id", "form")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of characters to remove from each document concerned."""
+    return leaks.leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.detect(table(spark, sf_dir, "messages"), "delivery_id", "text").select("delivery_id", "kind").distinct()
+
+
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redacted(table(spark, sf_dir, "messages"), "delivery_id", "text")
+
+
+def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "messages").select("delivery_id", "text", "lang")
+    return languages.assign(m, languages.fit(m, "delivery_id", "text"), "delivery_id", "text", "lang")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.disagreements(_assigned(spark, sf_dir), "delivery_id")
+
+
+def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stretch in one language, counted in words, with its confidence."""
+    return _assigned(spark, sf_dir).select("delivery_id", F.explode("stretches").alias("s")).select("delivery_id", "s.begin", "s.end", "s.lang", "s.confidence")
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = table(spark, sf_dir, "messages").select("delivery_id", "channel_id", "backend", "text")
+    net = abuse.fit(languages.sample(m, "delivery_id", "text", abuse.SAMPLE))
+    return abuse.scores(m, net, "delivery_id", "text", ["channel_id", "backend"])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("delivery_id")
+
+
+def p6_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("delivery_id", "score")
+
+
+def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of abusive messages of each channel and backend."""
+    bad = F.count_if(F.col("score") >= abuse.THRESHOLD)
+    return _scored(spark, sf_dir).groupBy("channel_id", "backend").agg(F.count("*").alias("messages"), bad.alias("abusive"), (bad / F.count("*")).alias("rate"))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).collection()
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir).shares()
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return residue.judged(d, residue.Residue.fit(languages.sample(d, "doc_id", "text", residue.SAMPLE)), "doc_id", "text")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).where("excluded").select("doc_id")
+
+
+def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other documents, with the share of residue in each."""
+    return _judged(spark, sf_dir).where("not excluded").select("doc_id", "share")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_redacted, p3_found, p3_forms, p5_found, p5_stretches, p6_found, p6_scores, p6_rates, p7_found, p8_found, p8_spans, p9_mixture, p9_shares, p10_found, p10_kept)
+}
 ORACLES: dict[str, str] = {}
