@@ -23,7 +23,8 @@ def parse_json(docs: DataFrame, column: str = "value") -> DataFrame:
     names = "ip host address port type protocol country country_name country_code cc latency response_time score hunt_score org organization username password".split()
     item = "array<struct<" + ",".join(f"{n}:string" for n in names) + ">>"
     doc = F.from_json(column, f"struct<proxies:{item},working:{item}>")
-    x = docs.select(F.explode(F.coalesce(F.from_json(column, item), doc["proxies"], doc["working"])).alias("p"))
+    items = F.when(F.startswith(F.ltrim(column), F.lit("[")), F.from_json(column, item)).otherwise(F.coalesce(doc["proxies"], doc["working"]))
+    x = docs.select(F.explode(items).alias("p"))
     first = lambda *c: F.coalesce(*[F.nullif(F.col(f"p.{n}"), F.lit("")) for n in c])
     out = x.select(
         F.lower(F.coalesce(first("type", "protocol"), F.lit("socks5"))).alias("type"), first("username").alias("username"), first("password").alias("password"), first("ip", "host", "address").alias("host"), F.col("p.port").try_cast("int").alias("port"),

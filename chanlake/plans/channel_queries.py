@@ -134,11 +134,11 @@ def union_backends(spark, sf_dir):
 
 
 @query(
-    """SELECT id, arg_max(coalesce(username, chr(0)), o) AS username, arg_max(title, o) AS title, arg_max(participants_count, o) AS participants_count, arg_min(is_megagroup, o) AS is_megagroup, arg_min(is_broadcast, o) AS is_broadcast
+    """SELECT id, arg_max_null(username, o) AS username, arg_max(title, o) AS title, arg_max_null(participants_count, o) AS participants_count, arg_min(is_megagroup, o) AS is_megagroup, arg_min(is_broadcast, o) AS is_broadcast
  FROM (SELECT *, {'a': scraped_at, 'b': version, 'c': title} AS o FROM channels) c GROUP BY id"""
 )
 def channel_upsert(spark, sf_dir):
-    c = table(spark, sf_dir, "channels").withColumn("username", F.coalesce("username", F.lit("\0")))
+    c = table(spark, sf_dir, "channels")
     return store.upserted_channels(c, ["scraped_at", "version", "title"]).select("id", "username", "title", "participants_count", "is_megagroup", "is_broadcast")
 
 
@@ -276,11 +276,11 @@ def html_to_text(spark, sf_dir):
 _RAW = "CASE version % 3 WHEN 0 THEN CAST(participants_count AS VARCHAR) WHEN 1 THEN concat(participants_count // 1000, '.5K') ELSE concat(' ', participants_count // 10, ',', participants_count % 10, ' ') END"
 
 
-@query(f"SELECT id, version, scraped_us, raw, CAST(CASE WHEN raw LIKE '%K' THEN participants_count // 1000 * 1000 + 500 ELSE participants_count END AS BIGINT) AS participants FROM (SELECT id, version, epoch_us(scraped_at) AS scraped_us, participants_count, {_RAW} AS raw FROM channels) c")
+@query(f"SELECT id, version, scraped_us, raw, CAST(CASE WHEN raw LIKE '%K' THEN participants_count // 1000 * 1000 + 500 ELSE participants_count END AS BIGINT) AS participants FROM (SELECT id, version, epoch_us(scraped_at) AS scraped_us, participants_count, {_RAW} AS raw FROM channels WHERE participants_count IS NOT NULL) c")
 def parse_counter(spark, sf_dir):
     p = F.col("participants_count")
     raw = F.when(F.col("version") % 3 == 0, p.cast("string")).when(F.col("version") % 3 == 1, F.concat(F.floor(p / 1000).cast("string"), F.lit(".5K"))).otherwise(F.concat(F.lit(" "), F.floor(p / 10).cast("string"), F.lit(","), (p % 10).cast("string"), F.lit(" ")))
-    c = table(spark, sf_dir, "channels").withColumn("raw", raw)
+    c = table(spark, sf_dir, "channels").where("participants_count is not null").withColumn("raw", raw)
     return c.select("id", "version", F.unix_micros("scraped_at").alias("scraped_us"), "raw", pages.counter(F.col("raw")).alias("participants"))
 
 
@@ -452,7 +452,7 @@ def distinct_forwards(spark, sf_dir):
 
 @query(
     f"""SELECT n.channel_id, n.forward_count, c.title, c.participants_count FROM (SELECT source AS channel_id, CAST(sum(weight) AS BIGINT) AS forward_count FROM ({_EDGES}) e GROUP BY source) n
- LEFT JOIN (SELECT id, arg_max(title, o) AS title, arg_max(participants_count, o) AS participants_count FROM (SELECT *, {{'a': scraped_at, 'b': version, 'c': title}} AS o FROM channels) q GROUP BY id) c ON c.id = n.channel_id"""
+ LEFT JOIN (SELECT id, arg_max(title, o) AS title, arg_max_null(participants_count, o) AS participants_count FROM (SELECT *, {{'a': scraped_at, 'b': version, 'c': title}} AS o FROM channels) q GROUP BY id) c ON c.id = n.channel_id"""
 )
 def resolve_channels(spark, sf_dir):
     dim = store.upserted_channels(table(spark, sf_dir, "channels"), ["scraped_at", "version", "title"])
