@@ -33,18 +33,15 @@ BLOCK = 1_000_000
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Suffix order of a sequence of small non-negative integers by prefix doubling over what is still tied."""
+    """Order of the rotations of a sequence of small non-negative integers, by prefix doubling over what is still tied."""
     n = len(s)
     if n < 2:
         return np.arange(n)
     width = max(1, int(s.max())).bit_length() + 1
-    step = max(1, 62 // width)
-    step = min(step, 4)
+    step = min(4, max(1, 62 // width))
     key = np.zeros(n, np.int64)
     for k in range(step):
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - k] = s[k:] + 1
-        key = (key << width) | nxt
+        key = (key << width) | np.roll(s, -k)
     sa = np.argsort(key, kind="stable")
     new = np.r_[True, key[sa][1:] != key[sa][:-1]]
     rank = np.empty(n, np.int64)
@@ -54,10 +51,10 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         tied = ~new
         tied[:-1] |= ~new[1:]
         at = np.flatnonzero(tied)
-        if not len(at):
+        if not len(at) or step > 2 * n:
             return sa
         u = sa[at]
-        second = np.where(u + step < n, rank[np.minimum(u + step, n - 1)], -1)
+        second = rank[(u + step) % n]
         first = rank[u]
         order = np.lexsort((second, first))
         u, first, second = u[order], first[order], second[order]
