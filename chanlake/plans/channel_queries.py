@@ -12,7 +12,7 @@ from ..functions.disclosure import capabilities, limitations
 from ..operators import activity, continuity, filters, graph, media, pages
 from ..operators.filters import CRYPTO, CTI, NEWS, FilterSpec
 from ..sources import messages as store
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,11 @@ def _m(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "messages")
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns that filters look at, spread for work on texts that isn't a filter (those are pushed to the scan)."""
+    return spread(_m(spark, sf_dir).select("delivery_id", "text", "date", "views", "forwards", "reactions_json", "has_media", "media_type"))
+
+
 def _kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(_m(spark, sf_dir), [F.col("delivery_id")])
 
@@ -217,12 +222,12 @@ _HELD = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in
 @query(f"SELECT delivery_id, ({_ANY}) AND {_NOT} AS matched, CASE WHEN NOT ({_NOT}) THEN 'excluded' WHEN {_ANY} THEN array_to_string({_HELD}, ',') ELSE '' END AS labels FROM messages")
 def filter_match_details(spark, sf_dir):
     s = filters.with_mode(_SPEC, "any")
-    return s.annotate(_m(spark, sf_dir)).select("delivery_id", "matched", F.array_join("matched_filters", ",").alias("labels"))
+    return s.annotate(_texts(spark, sf_dir)).select("delivery_id", "matched", F.array_join("matched_filters", ",").alias("labels"))
 
 
 @query(f"SELECT count(*) AS checked, CAST(sum(CASE WHEN {_kw(NEWS)} THEN 1 ELSE 0 END) AS BIGINT) AS matched, sum(CASE WHEN {_kw(NEWS)} THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS match_rate FROM messages")
 def filter_stats(spark, sf_dir):
-    return filters.preset("news").stats(_m(spark, sf_dir))
+    return filters.preset("news").stats(_texts(spark, sf_dir))
 
 
 def _found_sql(words) -> str:
