@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import deliveries
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import abuse, languages, leaks, lookalikes, mixing, neardup, personal, residue
 
 
+def _messages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "messages").select("delivery_id", "text", *columns))
+
+
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", *columns))
+
+
 def _posts(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     """Kept messages of at least 40 tokens, by pairs of adjacent tokens."""
-    m = table(spark, sf_dir, "messages")
     keys = ("channel_id", "message_id", "scraped_at")
+    m = _messages(spark, sf_dir, *keys)
     s = neardup.with_digests(m, "delivery_id", "text", 2, 40, keys)
     kept = deliveries.keep_one(s, ["id", "text", "s1", "s2"], row_id="id")
     return neardup.NearDuplicates(kept, width=2, threshold=0.7)
@@ -24,43 +32,43 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vocabulary(spark: SparkSession, sf_dir: str):
-    texts = table(spark, sf_dir, "messages").select("text").unionByName(table(spark, sf_dir, "channels").select(F.col("title").alias("text")))
+    texts = _messages(spark, sf_dir).select("text").unionByName(table(spark, sf_dir, "channels").select(F.col("title").alias("text")))
     return lookalikes.vocabulary(texts, "text")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vocabulary(spark, sf_dir)
-    texts = lookalikes.forms(table(spark, sf_dir, "messages"), ["delivery_id"], "text", v)
+    texts = lookalikes.forms(_messages(spark, sf_dir), ["delivery_id"], "text", v)
     titles = lookalikes.forms(table(spark, sf_dir, "channels").select("id", "title").distinct(), ["id"], "title", v)
     return lookalikes.pairs(lookalikes._prints(texts, "delivery_id", "text").unionByName(lookalikes._prints(titles, "id", "title")))
 
 
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text whose form differs from how it is written."""
-    f = lookalikes.forms(table(spark, sf_dir, "messages"), ["delivery_id"], "text", _vocabulary(spark, sf_dir))
+    f = lookalikes.forms(_messages(spark, sf_dir), ["delivery_id"], "text", _vocabulary(spark, sf_dir))
     return f.where("text <> form").select("delivery_id", "form")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.leaked(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of characters to remove from each document concerned."""
-    return leaks.leak_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.leak_spans(_documents(spark, sf_dir), table(spark, sf_dir, "eval_items"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.detect(table(spark, sf_dir, "messages"), "delivery_id", "text").select("delivery_id", "kind").distinct()
+    return personal.detect(_messages(spark, sf_dir), "delivery_id", "text").select("delivery_id", "kind").distinct()
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.redacted(table(spark, sf_dir, "messages"), "delivery_id", "text")
+    return personal.redacted(_messages(spark, sf_dir), "delivery_id", "text")
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "messages").select("delivery_id", "text", "lang")
-    return languages.assign(m, languages.fit(m, "delivery_id", "text"), "delivery_id", "text", "lang")
+    filters = languages.fit(table(spark, sf_dir, "messages"), "delivery_id", "text")
+    return languages.assign(_messages(spark, sf_dir, "lang"), filters, "delivery_id", "text", "lang")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,9 +81,8 @@ def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "messages").select("delivery_id", "channel_id", "backend", "text")
-    net = abuse.fit(languages.sample(m, "delivery_id", "text", abuse.SAMPLE))
-    return abuse.scores(m, net, "delivery_id", "text", ["channel_id", "backend"])
+    net = abuse.fit(languages.sample(table(spark, sf_dir, "messages"), "delivery_id", "text", abuse.SAMPLE))
+    return abuse.scores(_messages(spark, sf_dir, "channel_id", "backend"), net, "delivery_id", "text", ["channel_id", "backend"])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +100,7 @@ def p6_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> mixing.Mixture:
-    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.Mixture(_documents(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +112,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return residue.judged(d, residue.Residue.fit(languages.sample(d, "doc_id", "text", residue.SAMPLE)), "doc_id", "text")
+    d = table(spark, sf_dir, "documents")
+    return residue.judged(_documents(spark, sf_dir), residue.Residue.fit(languages.sample(d, "doc_id", "text", residue.SAMPLE)), "doc_id", "text")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
