@@ -262,7 +262,7 @@ def text_checksum(spark, sf_dir):
     return _m(spark, sf_dir).select("delivery_id", continuity.checksum(F.col("text")).alias("checksum"), F.char_length("text").cast("long").alias("length"))
 
 
-@query("SELECT delivery_id, md5(concat(coalesce(text, ''), '|', strftime(date, '%Y-%m-%d %H:%M:%S'), '+00:00', '|', coalesce(CAST(message_id AS VARCHAR), 'None'))) AS hash FROM messages WHERE epoch_us(date) % 1000000 = 0")
+@query("SELECT delivery_id, md5(concat(coalesce(text, ''), '|', strftime(date AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'), '+00:00', '|', coalesce(CAST(message_id AS VARCHAR), 'None'))) AS hash FROM messages WHERE epoch_us(date) % 1000000 = 0")
 def message_hash(spark, sf_dir):
     m = _m(spark, sf_dir).where(F.unix_micros("date") % 1_000_000 == 0)
     return m.select("delivery_id", pages.message_hash(F.col("text"), F.col("date"), F.col("message_id")).alias("hash"))
@@ -317,7 +317,7 @@ def media_classify(spark, sf_dir):
     return _media(spark, sf_dir).select("delivery_id", "kind", "ext")
 
 
-@query(f"SELECT delivery_id, CASE WHEN message_id IS NOT NULL AND kind IS NOT NULL THEN concat(strftime(date, '%Y%m%d_%H%M%S'), '_', message_id, '_', kind, '.', ext) END AS filename FROM ({_MEDIA}) m")
+@query(f"SELECT delivery_id, CASE WHEN message_id IS NOT NULL AND kind IS NOT NULL THEN concat(strftime(date AT TIME ZONE 'UTC', '%Y%m%d_%H%M%S'), '_', message_id, '_', kind, '.', ext) END AS filename FROM ({_MEDIA}) m")
 def media_filename(spark, sf_dir):
     return _media(spark, sf_dir).select("delivery_id", media.filename(F.col("date"), F.col("message_id"), F.col("kind"), F.col("ext")).alias("filename"))
 
