@@ -37,6 +37,8 @@ _CYRILLIC = ("АВЕЅІЈКМНОРСТХԚԜаеѕіјорсухһԁԛԝ", "AB
 _GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj")
 #: Bits of the vocabulary filter.
 BITS = 1 << 22
+#: Bytes of one bitmap of Spark's bitmap aggregates, which unite the filters of all tasks with map-side combining.
+_CHUNK = 4096
 
 _INVISIBLE = (
     "­͏؜ᅟᅠ឴឵᠎​‌‎‏‪‫‬‭‮"
@@ -152,7 +154,8 @@ def _bits(words: Sequence[str], bits: int) -> np.ndarray:
 
 def vocabulary(texts: DataFrame, text: str, bits: int = BITS) -> np.ndarray:
     """Bloom filter over all words of shared shapes that are written in one alphabet."""
-    size = bits // 8 // 64
+    if bits % (8 * _CHUNK):
+        raise ValueError(f"bits must be a multiple of {8 * _CHUNK}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = np.zeros(bits, bool)
@@ -163,17 +166,13 @@ def vocabulary(texts: DataFrame, text: str, bits: int = BITS) -> np.ndarray:
                     words.update(_SAME.findall(plain(t)))
             if words:
                 field[_bits(list(words), bits)] = True
-        packed = np.packbits(field).reshape(64, size)
+        packed = np.packbits(field).reshape(-1, _CHUNK)
         at = np.flatnonzero(packed.any(axis=1))
         yield from emit(pa.table({"part": pa.array(at, pa.int32()), "body": pa.array([packed[k].tobytes() for k in at], pa.binary())}))
 
-    def union(key, t):
-        body = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["body"].to_pylist()])
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "body": pa.array([body.tobytes()], pa.binary())})
-
-    parts = texts.select(texts[text].alias("text")).mapInArrow(run, "part int, body binary").groupBy("part").applyInArrow(union, "part int, body binary")
-    out = np.zeros((64, size), np.uint8)
-    for k, body in parts.collect():
+    parts = texts.select(texts[text].alias("text")).mapInArrow(run, "part int, body binary")
+    out = np.zeros((bits // 8 // _CHUNK, _CHUNK), np.uint8)
+    for k, body in parts.groupBy("part").agg(F.bitmap_or_agg("body").alias("body")).collect():
         out[k] = np.frombuffer(body, np.uint8)
     return np.unpackbits(out.reshape(-1)).astype(bool)
 
