@@ -80,6 +80,7 @@ def gaps(ids: DataFrame) -> DataFrame:
 
 def statement(name: str, m: dict) -> str:
     """Methodology statement for one row of :func:`metrics`; ``start`` and ``end`` are dates, ``latency_s`` optional."""
+    # The sentences of the statement.
     out = f"Data collection for channel '{name}' "
     if m.get("start") and m.get("end"):
         out += f"occurred between {m['start']:%Y-%m-%d} and {m['end']:%Y-%m-%d}. "

@@ -33,3 +33,11 @@ def test_equals_sql(spark, sf, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(k for m in entry._MODULES if not m.__name__.startswith("chanlake.llm") for k in m.QUERIES))
+def test_empty_and_null_tables(spark, empty_sf, null_sf, name):
+    for sf in (empty_sf, null_sf):
+        df = entry.queries()[name](spark, sf)
+        assert df.columns
+        df.collect()
