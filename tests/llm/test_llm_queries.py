@@ -14,3 +14,11 @@ def test_runs(spark, sf, name):
     if name in COLUMNS:
         assert df.columns == COLUMNS[name].split() and len(rows) == len(set(rows))
     assert rows
+
+
+@pytest.mark.parametrize("name", sorted(set(q.QUERIES) - {"p6_scores", "p6_rates"}))
+def test_empty_and_null_tables(spark, empty_sf, null_sf, name):
+    assert q.QUERIES[name](spark, empty_sf).count() in (0, 16) or name == "p9_shares"
+    rows = q.QUERIES[name](spark, null_sf).collect()
+    if name in COLUMNS:
+        assert rows == []
