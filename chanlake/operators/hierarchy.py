@@ -207,39 +207,71 @@ def hierarchy(df: DataFrame, scope: str = "channel_id", row_id: str = "message_i
 
 
 def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row the ids from the fragment's top down to the row; nothing for rows that end in a circle."""
+    """For each row of an opened forest the ids from the fragment's top down to the row; ring: the root of rows whose links never ended."""
     t = whole(batches, _IN)
     if not t.num_rows:
         return
     s, i, p, has, w, low, root, depth = _arrays(t)
-    up, jump, dist, _, _, _, circle = _contract(s, i, p, has, w, low, root, depth)
-    leaves = has[jump] & (up[jump] < 0) & ~circle
-    order = np.argsort(np.where(circle, 0, dist), kind="stable")
+    up, jump, dist, *_ = _contract(s, i, p, has, w, low, root, depth)
+    leaves = has[jump] & (up[jump] < 0)
     walk: dict[int, list[int]] = {}
-    for k in order.tolist():
-        walk[k] = [] if circle[k] else ([*walk[int(up[k])], int(i[k])] if up[k] >= 0 else [int(i[k])])
-    yield from emit(pa.table({"s": t["s"], "id": t["id"], "exit": pa.array(p[jump], mask=~leaves), "walk": pa.array([walk[k] for k in range(len(i))], pa.list_(pa.int64())), "circle": pa.array(circle)}), 5000)
+    for k in np.argsort(dist, kind="stable").tolist():
+        walk[k] = [*walk[int(up[k])], int(i[k])] if up[k] >= 0 else [int(i[k])]
+    yield from emit(pa.table({"s": t["s"], "id": t["id"], "exit": pa.array(p[jump], mask=~leaves), "walk": pa.array([walk[k] for k in range(len(i))], pa.list_(pa.int64())), "ring": pa.array(root, mask=depth >= 0)}), 5000)
 
 
-def paths(df: DataFrame, scope: str = "channel_id", row_id: str = "message_id", parent: str = "reply_to_id") -> DataFrame:
-    """(scope, id, path): the ids from the root down to the row itself; null if the links never end.
+def _opened(df: DataFrame, scope: str, row_id: str, parent: str) -> tuple[DataFrame, DataFrame]:
+    """(s, id, walk, ring) of the forest without the link of each circle's smallest id, and the links taken out as (cs, root, last).
 
     Fragments' walks are put together level by level: one join for each fragment on the longest path.
     """
-    forest = _forest(df, scope, row_id, parent)
-    frag = materialize(_blocked(forest, 0).mapInArrow(_walks, "s long, id long, exit long, walk array<long>, circle boolean"), "walks")
-    ends = hierarchy(df, scope, row_id, parent).select(F.col(scope).alias("hs"), F.col(row_id).alias("hid"), (F.col("depth") < 0).alias("never"))
-    cur = frag.join(ends, _same_scope("s", "hs") & (F.col("id") == F.col("hid"))).select("s", "id", F.when(F.col("never"), None).otherwise(F.col("exit")).cast("long").alias("exit"), F.when(F.col("never"), None).otherwise(F.col("walk")).alias("walk"))
-    cur = materialize(cur, "paths")
+    ends = hierarchy(df, scope, row_id, parent).select(F.col(scope).alias("hs"), F.col(row_id).alias("hid"), "root_id", (F.col("depth") < 0).alias("never"))
+    j = _forest(df, scope, row_id, parent).join(ends, _same_scope("s", "hs") & (F.col("id") == F.col("hid")))
+    ring = F.col("never") & (F.col("id") == F.col("root_id"))
+    j = materialize(j.select("s", "id", "parent", "w", "low", F.col("root_id").alias("root"), F.when(F.col("never"), -1).otherwise(0).cast("long").alias("depth"), ring.alias("first")), "ends")
+    links = j.where("first").select(F.col("s").alias("cs"), F.col("id").alias("root"), F.col("parent").alias("last"))
+    forest = j.select("s", "id", F.when(~F.col("first"), F.col("parent")).alias("parent"), "w", "low", "root", "depth")
+    cur = materialize(_blocked(forest, 0).mapInArrow(_walks, "s long, id long, exit long, walk array<long>, ring long"), "walks")
     while cur.where("exit is not null").limit(1).count():
         up = cur.select(F.col("s").alias("us"), F.col("id").alias("uid"), F.col("exit").alias("uexit"), F.col("walk").alias("uwalk"))
         j = cur.join(up, _same_scope("s", "us") & (F.col("exit") == F.col("uid")), "left")
-        cur = materialize(j.select("s", "id", F.col("uexit").alias("exit"), F.when(F.col("uid").isNull(), F.col("walk")).otherwise(F.concat("uwalk", "walk")).alias("walk")), "paths")
-    return cur.select(F.col("s").alias(scope), F.col("id").alias(row_id), F.col("walk").alias("path"))
+        cur = materialize(j.select("s", "id", F.col("uexit").alias("exit"), F.when(F.col("uid").isNull(), F.col("walk")).otherwise(F.concat("uwalk", "walk")).alias("walk"), "ring"), "paths")
+    return cur.select("s", "id", "walk", "ring"), links
+
+
+def all_paths(df: DataFrame, scope: str = "channel_id", row_id: str = "message_id", parent: str = "reply_to_id") -> DataFrame:
+    """(scope, id, path, circle): the ids from the root down to the row itself; where the links never end (``circle``), from the smallest id of the circle."""
+    cur, _ = _opened(df, scope, row_id, parent)
+    return cur.select(F.col("s").alias(scope), F.col("id").alias(row_id), F.col("walk").alias("path"), F.col("ring").isNotNull().alias("circle"))
+
+
+def paths(df: DataFrame, scope: str = "channel_id", row_id: str = "message_id", parent: str = "reply_to_id") -> DataFrame:
+    """(scope, id, path): as ``all_paths``, but null if the links never end."""
+    return all_paths(df, scope, row_id, parent).select(scope, row_id, F.when(~F.col("circle"), F.col("path")).alias("path"))
+
+
+def _pairs(p: DataFrame, scope: str, row_id: str, *more: str) -> DataFrame:
+    p = p.where(F.size("path") > 1)
+    e = p.select(scope, F.col(row_id).alias("descendant_id"), *more, F.size("path").alias("n"), F.posexplode("path").alias("at", "anc"))
+    return e.where(F.col("at") < F.col("n") - 1).select(scope, F.col("anc").alias(row_id), "descendant_id", (F.col("n") - 1 - F.col("at")).cast("long").alias("distance"), *more)
+
+
+def all_descendants(df: DataFrame, scope: str = "channel_id", row_id: str = "message_id", parent: str = "reply_to_id") -> DataFrame:
+    """(scope, id, descendant_id, distance, circle): one row for each node and each other node below it, by the fewest links.
+
+    On a circle every node is below every other; ``circle`` marks pairs whose links upward never end.
+    """
+    cur, links = _opened(df, scope, row_id, parent)
+    # The circle from its smallest id down is the path of the parent of that id.
+    last = cur.where("ring is not null").select(F.col("s").alias("ls"), F.col("id").alias("lid"), F.col("walk").alias("around"))
+    rings = links.join(last, _same_scope("cs", "ls") & (F.col("last") == F.col("lid"))).select("cs", "root", "around")
+    below = cur.where("ring is not null").join(rings, _same_scope("s", "cs") & (F.col("ring") == F.col("root")))
+    on = F.size(F.array_intersect("walk", "around"))  # ids of the circle that the path has; the others lie above its first
+    below = below.select("s", "id", F.concat(F.slice("around", on + 1, F.size("around")), F.col("walk")).alias("path"), F.lit(True).alias("circle"))
+    ended = cur.where("ring is null").select("s", "id", F.col("walk").alias("path"), F.lit(False).alias("circle"))
+    return _pairs(ended.unionByName(below).withColumnsRenamed({"s": scope, "id": row_id}), scope, row_id, "circle")
 
 
 def descendants(df: DataFrame, scope: str = "channel_id", row_id: str = "message_id", parent: str = "reply_to_id") -> DataFrame:
-    """(scope, id, descendant_id, distance): one row for each node and each node below it, circles left out."""
-    p = paths(df, scope, row_id, parent).where(F.size("path") > 1)
-    e = p.select(scope, F.col(row_id).alias("descendant_id"), F.size("path").alias("n"), F.posexplode("path").alias("at", "anc"))
-    return e.where(F.col("at") < F.col("n") - 1).select(scope, F.col("anc").alias(row_id), "descendant_id", (F.col("n") - 1 - F.col("at")).cast("long").alias("distance"))
+    """(scope, id, descendant_id, distance): as ``all_descendants`` without the pairs whose links never end."""
+    return _pairs(paths(df, scope, row_id, parent), scope, row_id)

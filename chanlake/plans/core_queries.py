@@ -36,7 +36,18 @@ def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(table(spark, sf_dir, "messages"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_channels, p4_found, p4_paths, p4_descendants)}
+def p4_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p4_paths, and from the smallest id of the circle down where the links lead in circles."""
+    p = hierarchy.all_paths(table(spark, sf_dir, "messages"))
+    return p.withColumn("path", F.concat_ws("/", F.col("path").cast("array<string>")))
+
+
+def p4_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As p4_descendants, and the pairs on circles and below them."""
+    return hierarchy.all_descendants(table(spark, sf_dir, "messages"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_channels, p4_found, p4_paths, p4_descendants, p4_all_paths, p4_all_descendants)}
 
 _RANKED = "row_number() OVER (PARTITION BY channel_id, message_id ORDER BY scraped_at DESC NULLS LAST, delivery_id) AS rn"
 _NODES = """
@@ -73,4 +84,17 @@ ORACLES = {
     "p4_descendants": _WALK
     + """, ok AS (SELECT channel_id, message_id, list_append(passed, nxt) AS up FROM last WHERE NOT list_contains(passed, nxt)), steps AS (SELECT channel_id, message_id AS descendant_id, up, unnest(range(2, len(up) + 1)) AS k FROM ok)
   SELECT channel_id, up[k] AS message_id, descendant_id, k - 1 AS distance FROM steps""",
+    "p4_all_paths": _WALK
+    + """, up AS (
+  SELECT channel_id, message_id, list_contains(passed, nxt) AS circle, CASE WHEN list_contains(passed, nxt)
+  THEN list_slice(passed, 1, list_position(passed, list_min(list_slice(passed, list_position(passed, nxt), len(passed))))) ELSE list_append(passed, nxt) END AS ids FROM last
+)
+  SELECT n.channel_id, n.message_id, coalesce(u.circle, false) AS circle,
+  CASE WHEN u.message_id IS NULL THEN CAST(n.message_id AS VARCHAR) ELSE list_aggregate(list_reverse(u.ids), 'string_agg', '/') END AS path
+  FROM node n LEFT JOIN up u ON u.channel_id = n.channel_id AND u.message_id = n.message_id""",
+    "p4_all_descendants": _WALK
+    + """, up AS (
+  SELECT channel_id, message_id, list_contains(passed, nxt) AS circle, CASE WHEN list_contains(passed, nxt) THEN passed ELSE list_append(passed, nxt) END AS ids FROM last
+), steps AS (SELECT channel_id, message_id AS descendant_id, circle, ids, unnest(range(2, len(ids) + 1)) AS k FROM up)
+  SELECT channel_id, ids[k] AS message_id, descendant_id, k - 1 AS distance, circle FROM steps""",
 }

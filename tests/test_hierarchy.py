@@ -64,3 +64,39 @@ def test_long_chain_and_empty(spark):
     got = {r["message_id"]: r["depth"] for r in H.hierarchy(chain).collect()}
     assert got == {k: k for k in range(n)}
     assert H.hierarchy(spark.createDataFrame([], "channel_id long, message_id long, reply_to_id long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [14, 3])
+def test_circles_keep_their_trees(spark, monkeypatch, block):
+    monkeypatch.setattr(H, "BLOCK", block)
+    # 10 -> 41 -> 23 -> 10 is a circle (child -> parent); 50 -> 23, 90 -> 50, 91 -> 50 hang below it; 70 names itself, 71 -> 70.
+    links = {10: 41, 41: 23, 23: 10, 50: 23, 90: 50, 91: 50, 70: 70, 71: 70, 1: None, 2: 1}
+    df = spark.createDataFrame([(1, k, p) for k, p in links.items()], "channel_id long, message_id long, reply_to_id long")
+    got = {r["message_id"]: (r["path"], r["circle"]) for r in H.all_paths(df).collect()}
+    assert got == {
+        10: ([10], True), 23: ([10, 23], True), 41: ([10, 23, 41], True), 50: ([10, 23, 50], True), 90: ([10, 23, 50, 90], True), 91: ([10, 23, 50, 91], True),
+        70: ([70], True), 71: ([70, 71], True), 1: ([1], False), 2: ([1, 2], False),
+    }
+    pairs = {(r["message_id"], r["descendant_id"]): (r["distance"], r["circle"]) for r in H.all_descendants(df).collect()}
+    want = {}
+    for k in links:
+        at, n = links[k], 1
+        while at is not None and at != k and (at, k) not in want:
+            want[at, k] = (n, k > 2)
+            at, n = links[at], n + 1
+    assert pairs == want and (50, 90) in pairs and (41, 91) in pairs
+
+
+def test_all_descendants_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK", 3)
+    rows = data(150, 6)
+    _, par = brute(rows)
+    want = []
+    for c, k in par:
+        at, seen = par[c, k], [k]
+        while at is not None and (c, at) in par and at not in seen:
+            want.append((c or -1, at, k, len(seen)))
+            seen.append(at)
+            at = par[c, at]
+    got = H.all_descendants(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r[0] or -1, r[1], r[2], r[3]) for r in got) == sorted(want)
