@@ -42,7 +42,46 @@ _DIGITS = {
     )
     for d, w in enumerate(words.split())
 } | {"oh": "0", "zwo": "2", "meia": "6"}
-_DIGIT_WORDS = frozenset(_DIGITS)
+_LETTERS = re.compile(r"[^\W\d_]+")
+# Letters that re.I takes for others and str.lower() doesn't.
+_TWINS = str.maketrans("ıſᲀᲁᲂᲃᲄᲅᲆᲇ", "isвдосттъѣ", "\u0307")
+_TWIN = "ıſᲀᲁᲂᲃᲄᲅᲆᲇ\u0307"
+
+
+class Words:
+    """What the cheap tests before the patterns look at: the lower-case text and its runs of letters.
+
+    A test may only fail where its pattern can't match. Patterns with apostrophes or hyphens are known by a run of
+    letters between these (``needed``); patterns that may start or end inside a word are looked for in the text.
+    """
+
+    __slots__ = ("text", "runs")
+
+    def __init__(self, text: str):
+        self.text = text.lower()
+        if not text.isascii() and any(c in self.text for c in _TWIN):
+            self.text = self.text.translate(_TWINS)
+        self.runs = set(_LETTERS.findall(self.text))
+
+    def some(self, words: frozenset[str]) -> bool:
+        return not self.runs.isdisjoint(words)
+
+    def many(self, words: frozenset[str], n: int) -> bool:
+        return self.some(words) and sum(w in words for w in _LETTERS.findall(self.text)) >= n
+
+    def parts(self, starts: tuple[str, ...], ends: tuple[str, ...]) -> bool:
+        return any(w.endswith(ends) or w.startswith(starts) for w in self.runs)
+
+    def holds(self, stems: Sequence[str]) -> bool:
+        return any(x in self.text for x in stems)
+
+
+def needed(words: Sequence[str]) -> frozenset[str]:
+    """The longest run of letters of each word."""
+    return frozenset(max(_LETTERS.findall(w.lower()), key=len) for w in words)
+
+
+_DIGIT_WORDS = needed(list(_DIGITS))
 _D = "|".join(sorted(map(re.escape, _DIGITS), key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:{_D})(?:[ ,\-]+(?:{_D})){{5,}}(?!\w)", re.I)
 _SPELLED_ONE = re.compile(rf"(?:{_D})", re.I)
@@ -53,7 +92,7 @@ _BRACKET_DOT = re.compile(rf"\s*[\[({{<]\s*(?:{_DOT}|\.)\s*[\])}}>]\s*", re.I)
 _WORD_AT = re.compile(rf"(?<=[\w]) (?:{_AT}) ([\w-]+)((?: (?:{_DOT}) [A-Za-z][\w-]*)+)", re.I)
 _SPACED_AT = re.compile(r"(?<=[\w]) ?@ ([\w-]+)((?: ?\. ?[a-z][\w-]*| ?\. ?[A-Z]{2,}(?![a-z]))+)")
 _ODD = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤﻿  -  　＀-￯Ͱ-Ͽ]|[A-Za-z][Ѐ-ԯ]|[Ѐ-ԯ][A-Za-z]")
-_HINT = re.compile(rf"[\[({{<]\s*(?:{_AT}|@)\s*[\])}}>]|@ | (?:{_AT}) [\w-]+ (?:{_DOT}) ", re.I)
+_HINT = re.compile(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|[@.])\s*[\])}}>]|@ | (?:{_AT}) [\w-]+ (?:{_DOT}) ", re.I)
 
 
 class Tape:
@@ -112,8 +151,8 @@ def _one_alphabet(word: str) -> str:
     return lookalikes.form(word)
 
 
-def tape(text: str, words: set[str] | None = None) -> Tape:
-    """``words``: the lower-cased words of the text, if the caller has them."""
+def tape(text: str, words: Words | None = None) -> Tape:
+    """``words``: those of the text, if the caller has them."""
     t = Tape.of(text)
     if _ODD.search(text):
         t = t.characters()
@@ -121,7 +160,9 @@ def tape(text: str, words: set[str] | None = None) -> Tape:
         t = t.replace(_BRACKET_AT, "@").replace(_BRACKET_DOT, ".")
         t = t.replace(_WORD_AT, lambda m: f"@{m[1]}" + re.sub(rf" (?:{_DOT}) ", ".", m[2], flags=re.I))
         t = t.replace(_SPACED_AT, lambda m: f"@{m[1]}" + m[2].replace(" ", ""))
-    if words is None or len(words & _DIGIT_WORDS) > 1:
+    if words is None or t.text is not text:
+        words = Words(t.text)
+    if words.many(_DIGIT_WORDS, 6):
         t = t.replace(_SPELLED, lambda m: "".join(_DIGITS[x[0].lower()] for x in _SPELLED_ONE.finditer(m[0])))
     return t
 
@@ -132,6 +173,7 @@ _EMAIL = re.compile(r"(?<![\w@.+-])[\w][\w.+%'-]*@(?:[^\W_][\w-]*\.)+[^\W\d_]{2,
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁЇІЄҐ"
 _NM = rf"[{_UP}][\w'’-]*"
 _NO = r"\d{1,4}(?: ?[a-zA-Zа-я])?(?![\w.:,]*\d*:\d)(?!\w)"
+_THEN = rf"(?: |(?<![{_UP}]))"  # a kind and a name in one word are told apart by the capital only
 _STREET = (
     r"(?:Street|STREET|street|Str|St|ST|Road|ROAD|Rd|RD|Lane|LANE|Ln|Avenue|AVENUE|Ave|AVE|Drive|DRIVE|Dr|Court|COURT|Ct|Square|SQUARE|Sq|Terrace|TERRACE|Close|CLOSE|Crescent|CRESCENT|Boulevard|BOULEVARD|Blvd|Row|ROW|Way|WAY|Place|PLACE)\b\.?"
 )
@@ -148,25 +190,33 @@ _ADDRESS = re.compile(
             rf"(?<![\w.:/-])\d{{1,4}}(?: ?(?i:bis|ter|quater))?,? (?i:rue|avenue|av\.|boulevard|bd\.?|blvd\.?|place|chemin|impasse|quai|allée|route|cours|square|passage) (?:(?i:de la |du |des |de |d['’]|la |le |les )|(?i:de l['’]))?{_NM}",
             rf"(?<!\w)(?i:rue|boulevard|bd\.?) (?:(?i:de la |du |des |de ))?{_NM},? {_NO}",
             # kind, name and number: Spanish, Portuguese, Italian
-            rf"(?<!\w)(?i:c/|calle|avda\.?|avenida|av\.|plaza|pl\.|paseo|carrer|camino|carretera|rua|praça|travessa|largo|estrada|alameda|via|viale|v\.le|piazza|corso|vicolo|strada) ?(?:(?i:de la|de los|de las|della|delle|dei|del|dos|das|de|do|da|di) )?(?:{_NM} ?){{1,3}},? ?(?i:nº|n\.º|n°|núm\.?|n\.|numero|número)? ?{_NO}",
+            rf"(?<!\w)(?i:c/|calle|avda\.?|avenida|av\.|plaza|pl\.|paseo|carrer|camino|carretera|rua|praça|travessa|largo|estrada|alameda|via|viale|v\.le|piazza|corso|vicolo|strada){_THEN}(?:(?i:de la|de los|de las|della|delle|dei|del|dos|das|de|do|da|di) )?(?:{_NM} ?){{1,3}},? ?(?i:nº|n\.º|n°|núm\.?|n\.|numero|número)? ?{_NO}",
             # Cyrillic
-            rf"(?<!\w)(?i:ул\.|улица|улице|пр\.|просп\.|пр-т|проспект|проспекте|переулок|переулке|пер\.|площадь|пл\.|наб\.|набережная|бульвар|б-р|бул\.|шоссе|проезд|вул\.|вулиця|вулиці|провулок|провулку|пров\.|площа) ?(?:{_NM} ?){{1,3}},? ?(?i:д\.|дом|буд\.|будинок|б\.|№)? ?{_NO}(?:,? ?(?i:кв\.|корп\.|квартира) ?\w+)?",
+            rf"(?<!\w)(?i:ул\.|улица|улице|пр\.|просп\.|пр-т|проспект|проспекте|переулок|переулке|пер\.|площадь|пл\.|наб\.|набережная|бульвар|б-р|бул\.|шоссе|проезд|вул\.|вулиця|вулиці|провулок|провулку|пров\.|площа){_THEN}(?:{_NM} ?){{1,3}},? ?(?i:д\.|дом|буд\.|будинок|б\.|№)? ?{_NO}(?:,? ?(?i:кв\.|корп\.|квартира) ?\w+)?",
             rf"(?<!\w)(?:{_NM} ){{1,2}}(?i:улица|проспект|переулок|бульвар|шоссе|вулиця|провулок),? ?(?i:д\.|дом|буд\.|будинок)? ?{_NO}",
         )
     )
 )
 _STREET_WORDS = frozenset(
-    "street road rd lane ln avenue ave av boulevard blvd bd drive court square terrace crescent close row way place str st straße strasse gasse weg platz allee ring damm ufer rue chemin impasse quai route cours passage "
+    "street road rd lane ln avenue ave av boulevard blvd bd drive dr court ct square sq terrace crescent close row way place str st straße strasse gasse weg platz allee allée ring damm ufer rue chemin impasse quai route cours passage "
     "c calle avda avenida plaza pl paseo carrer camino carretera rua r praça travessa largo estrada alameda via viale v piazza corso vicolo strada "
     "ул улица улице пр просп проспект проспекте переулок переулке пер площадь наб набережная бульвар б бул шоссе проезд вул вулиця вулиці провулок провулку пров площа".split()
 )
 _STREET_ENDS = ("straße", "strasse", "gasse", "weg", "platz", "allee", "damm", "ufer", "ring", "steig", "str")
+#: Kinds that may be written in one word with the name after them.
+_STREET_STARTS = tuple(
+    "calle avda avenida plaza paseo carrer camino carretera rua praça travessa largo estrada alameda via piazza corso vicolo strada "
+    "улица улице проспект переулок переулке площа набережная бульвар шоссе проезд вулиця вулиці провулок провулку".split()
+)
 _STREETS = frozenset("street road lane avenue drive court square terrace close boulevard rd st ave blvd school schule hospital bridge brücke prize preis museum university festival station park hotel labs desk union watch club fc tower".split())
 
-#: Words that announce an identity number, and single words without which none does.
+#: Words by which identity numbers in small letters are taken for such.
 _ID_HINT = frozenset(
     "passport passports national id identity ssn social nino dni nie nif cpf ausweis ausweisnummer personalausweis personalausweisnummer reisepass reisepassnummer steuer steuerid sozialversicherung sozialversicherungsnummer identité passeport sécurité identità codice passaporto cartão bilhete passaporte pasaporte documento refund refunds паспорт паспорта снилс инн удостоверение посвідчення рнокпп іпн".split()
 )
+#: One of these is in whatever _ID_WORD matches; the second are words of their own.
+_ID_STEMS = tuple("passport national identity social ausweis reisepass steuer identité passeport sécurité identità codice passaport cartão bilhete pasaporte documento refund паспорт снилс удостоверение посвідчення".split()) + ("sozialversicherung",)
+_ID_ALONE = frozenset("id ssn nino dni nie nif cpf инн рнокпп іпн".split())
 _ID_WORD = re.compile(
     r"passport|national id|\bid (?:card|no|number)|identity|\bssn\b|social security|\bnino\b|\bdni\b|\bnie\b|\bnif\b|\bcpf\b|ausweis|personalausweis|reisepass|steuer-?id|sozialversicherung|carte d['’]identité|passeport|sécurité sociale|"
     r"carta d['’]identità|codice fiscale|passaporto|cartão de cidadão|bilhete de identidade|passaporte|pasaporte|documento|refunds? quote|паспорт|снилс|\bинн\b|удостоверение|посвідчення|\bрнокпп\b|\bіпн\b",
@@ -185,11 +235,11 @@ _ID = re.compile(
     r")(?![\w-]|\.\d)"
 )
 _ID_LOWER = re.compile(r"(?<![\w@.#/-])(?:[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d]|[xyz]-?\d{7}-?[a-z]|\d{8}-?[a-z]|[a-z]\d{8,9})(?![\w-]|\.\d)")
-_ID_AFTER = re.compile(r"\w*(?: ?(?:no|nr|num|number|nummer|número|numéro|numero|номер|№|n°|nº|is|ist|:|\.|#))* ?:? ?((?=(?:[ -]?\w)*\d{3})[A-Z]{0,3}[ -]?\d[\d -]{4,14}\d(?:[ -]?[A-Z])?)(?!\w)", re.I)
+_ID_AFTER = re.compile(r"\w*(?:[ -]?(?:no|nr|num|number|nummer|número|numéro|numero|номер|№|n°|nº|is|ist|:|\.|#))* ?:? ?((?=(?:[ -]?\w)*[ -]?\d{3})[A-Z]{0,3}[ -]?\d[\d -]{4,14}\d(?:[ -]?[A-Z])?)(?!\w)", re.I)
 
 _DIGIT = re.compile(r"\d")
-#: As many digits as the shortest identity number has, but for a few separators.
-_MANY = re.compile(r"\d(?:[ .\-]?\d){5}")
+#: As many digits as the shortest identity number has, but for a few separators; or the one that has letters between.
+_MANY = re.compile(r"\d(?:[ .\-]?\d){5}|[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z]")
 _CLUSTER = re.compile(r"(?<![\w.+#@/-])\(?(?:\+|00)?\(?\d(?:[ .\-/()]{0,2}\d){6,14}(?!\d)")
 _PHONE = re.compile(
     r"(?:"
@@ -231,6 +281,7 @@ _TITLES = (
     "господин госпожа господина госпожи г-н г-жа гражданин гражданка доктор профессор товарищ пан пані пана панна добродій лікар професор"
 )
 TITLES = frozenset(_TITLES.lower().split())
+_TITLE_HINT = needed(_TITLES.split())
 _TITLE = "|".join(sorted(map(re.escape, _TITLES.split()), key=len, reverse=True))
 #: What stands before a name that is not a person's.
 _NOT_BEFORE = frozenset(
@@ -245,19 +296,18 @@ _SURNAME_END = re.compile(
     r"ов|ова|ев|ева|ёв|ёва|ин|ина|ын|ына|ский|ская|цкий|цкая|енко|чук|щук|юк|як|ський|ська|цький|цька|ів|їв|ко|дзе|швили|ян)$"
 )
 _ASK = re.compile(
-    rf"(?:(?i:my name is|signed by|ask for|interview with|parcel for|letter for|regards,?|sincerely,?|ich heiße|mein name ist|paket für|rückfragen an|je m['’]appelle|colis pour|demandez|me llamo|mi nombre es|paquete para|preguntad por|pregunten por|chamo-me|o meu nome é|encomenda para|mi chiamo|il mio nome è|pacco per|chiedete di|меня зовут|посылка для|спросите|мене звати|посилка для|запитайте))[:,]? ({_CAP} (?:[{_UP}]\. )?{_CAP})(?!\w)"
+    rf"(?:(?i:my name is|signed by|\bask for|interview with|parcel for|letter for|regards,?|sincerely,?|ich heiße|mein name ist|paket für|rückfragen an|je m['’]appelle|colis pour|demandez|me llamo|mi nombre es|paquete para|preguntad por|pregunten por|chamo-me|o meu nome é|encomenda para|mi chiamo|il mio nome è|pacco per|chiedete di|меня зовут|посылка для|спросите|мене звати|посилка для|запитайте))[:,]? ({_CAP} (?:[{_UP}]\. )?{_CAP})(?!\w)"
 )
-_ASK_HINT = frozenset("name signed ask interview parcel letter regards sincerely heiße paket rückfragen appelle colis demandez llamo nombre paquete preguntad pregunten chamo nome encomenda chiamo pacco chiedete зовут посылка спросите звати посилка запитайте".split())
-_WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)?")
+#: One of these is in whatever _ASK matches; compounds end in them.
+_ASK_HINT = tuple("name signed ask interview parcel letter regards sincerely heiße paket rückfragen appelle colis demandez llamo nombre paquete preguntad pregunten chamo nome encomenda chiamo pacco chiedete зовут посылка спросите звати посилка запитайте".split())
 
 
-def _persons(s: str, low: set[str], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    titled = not low.isdisjoint(TITLES) or "г-н" in low or "г-жа" in low
-    if titled:
+def _persons(s: str, words: Words, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    if words.some(_TITLE_HINT):
         for m in _TITLED.finditer(s):
             if _free(m.span(), taken) and m[1].lower() not in _STREETS and _before(s, m.start()) not in _NOT_BEFORE:
                 yield m.span()
-    if not low.isdisjoint(FIRST):
+    if words.some(FIRST):
         at = 0
         while m := _PAIR.search(s, at):
             at = m.start(3)
@@ -273,7 +323,7 @@ def _persons(s: str, low: set[str], taken: list[tuple[int, int]]) -> Iterator[tu
                 at = m.end()
             elif fb and not fa and a[0].isupper() and s[m.end(1)] == "," and b[0].isupper():
                 yield m.span()
-    for m in () if low.isdisjoint(_ASK_HINT) else _ASK.finditer(s):
+    for m in _ASK.finditer(s) if words.holds(_ASK_HINT) else ():
         if _free(m.span(1), taken) and m[1].split()[0].lower() not in _NOT_BEFORE and m[1].split()[-1].lower() not in _STREETS:
             yield m.span(1)
 
@@ -304,7 +354,7 @@ def _free(span: tuple[int, int], taken: list[tuple[int, int]]) -> bool:
     return all(span[1] <= a or span[0] >= b for a, b in taken)
 
 
-def _found(s: str, low: set[str]) -> list[tuple[int, int, str]]:
+def _found(s: str, words: Words) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []
 
@@ -317,18 +367,20 @@ def _found(s: str, low: set[str]) -> list[tuple[int, int, str]]:
         for m in _EMAIL.finditer(s):
             take(m.span(), "email")
     if _DIGIT.search(s):
-        if not low.isdisjoint(_STREET_WORDS) or any(w.endswith(_STREET_ENDS) for w in low):
+        if words.some(_STREET_WORDS) or words.parts(_STREET_STARTS, _STREET_ENDS):
             for m in _ADDRESS.finditer(s):
                 take(m.span(), "address")
         if _MANY.search(s):
             for m in _ID.finditer(s):
                 take(m.span(), "id_number")
-        if not low.isdisjoint(_ID_HINT):
+        announced = not words.runs.isdisjoint(_ID_HINT)
+        if words.some(_ID_ALONE) or words.holds(_ID_STEMS):
             for w in _ID_WORD.finditer(s):
+                announced = True
                 if m := _ID_AFTER.match(s, w.end()):
                     take(m.span(1), "id_number")
-            for m in _ID_LOWER.finditer(s):
-                take(m.span(), "id_number")
+        for m in _ID_LOWER.finditer(s) if announced else ():
+            take(m.span(), "id_number")
         for c in _CLUSTER.finditer(s):
             at = c.start()
             m = _PHONE.match(s, at)
@@ -339,7 +391,7 @@ def _found(s: str, low: set[str]) -> list[tuple[int, int, str]]:
                 take(m.span(), "phone")
             elif _PHONE_WORD.search(s[max(0, at - 32) : at]) and 7 <= sum(x.isdigit() for x in c[0]) <= 15:
                 take(c.span(), "phone")
-    for span in _persons(s, low, taken):
+    for span in _persons(s, words, taken):
         take(span, "person")
     return out
 
@@ -348,11 +400,11 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     """Spans of the source text and their kinds, in order."""
     if not text:
         return []
-    low = set(_WORDS.findall(text.lower()))
-    t = tape(text, low)
+    words = Words(text)
+    t = tape(text, words)
     if t.text is not text:
-        low = set(_WORDS.findall(t.text.lower()))
-    out = [(t.begin[a], t.end[b - 1], k) for a, b, k in _found(t.text, low)]
+        words = Words(t.text)
+    out = [(t.begin[a], t.end[b - 1], k) for a, b, k in _found(t.text, words)]
     return sorted(out)
 
 
