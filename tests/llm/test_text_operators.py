@@ -119,6 +119,20 @@ def test_abuse_on_held_out_texts(spark):
     assert abuse.scores(df.limit(0), net, "delivery_id", "text").count() == 0
 
 
+def test_every_window_is_scored():
+    rng = __import__("random").Random(3)
+    words = [f"w{k}" for k in range(40)]
+    net = abuse.Network(words[:30])
+    lists = [[rng.choice(words) for _ in range(n)] for n in (1, 5, 15, 16, 17, 23, 24, 25, 40, 100, 300)]
+    lists += [[], lists[4], lists[9]]
+    one = lambda w: max((float(net.score_words([w[k : k + abuse.WINDOW]])[0]) for k in range(max(1, len(w) - abuse.WINDOW + 1))), default=0.0)
+    assert abs(net.score_words(lists) - [one(w) for w in lists]).max() < 1e-6
+    phrase = [f"bad{k}" for k in range(abuse.WINDOW)]
+    best = float(net.score_words([phrase])[0])
+    for at in range(24):
+        assert net.score_words([words[:at] + phrase + words[: 40 - at]])[0] >= best - 1e-6, at
+
+
 def test_residue(spark):
     prose = [f"The {a} team rebuilt {n} records of the {b} archive and signed a protocol about it. Nobody explained why the {b} bridge was closed that night." for a in ("night", "map", "harbour", "survey") for b in ("northern", "old", "public") for n in range(20)]
     r = residue.Residue.fit(prose)
