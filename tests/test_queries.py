@@ -41,3 +41,19 @@ def test_empty_and_null_tables(spark, empty_sf, null_sf, name):
         df = entry.queries()[name](spark, sf)
         assert df.columns
         df.collect()
+
+
+def test_message_hash_keeps_all_rows(spark, sf, tmp_path):
+    import hashlib
+    from datetime import datetime, timezone
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{sf}/messages.parquet").slice(0, 3)
+    dates = [datetime(2024, 5, 1, 10, 2, 3, tzinfo=timezone.utc), datetime(2024, 5, 1, 10, 2, 3, 250000, tzinfo=timezone.utc), None]
+    for name, col in (("date", pa.array(dates, pa.timestamp("us", "UTC"))), ("text", pa.array(["a"] * 3)), ("message_id", pa.array([7] * 3, pa.int64()))):
+        t = t.set_column(t.column_names.index(name), name, col)
+    pq.write_table(t, tmp_path / "messages.parquet")
+    got = {r["delivery_id"]: r["hash"] for r in entry.queries()["message_hash"](spark, str(tmp_path)).collect()}
+    assert list(map(got.get, t["delivery_id"].to_pylist())) == [hashlib.md5(f"a|{d}|7".encode()).hexdigest() for d in dates]
