@@ -66,3 +66,44 @@ def test_ledger_over_batches(spark, tmp_path):
     assert led.version() == 3
     again = led.ingest(spark.createDataFrame(data[:100], SCHEMA)).collect()
     assert all(data[r[0]][1] is None or data[r[0]][2] is None for r in again)
+
+
+def test_shards_double_and_results_stay(spark, tmp_path):
+    data = rows(300, 3)
+    one, two = (D.Ledger(spark, str(tmp_path / n), shards=1, per_shard=k) for n, k in (("a", 10**6), ("b", 20)))
+    for k in range(3):
+        part = spark.createDataFrame(data[k * 100 : k * 100 + 100], SCHEMA)
+        assert sorted(r[0] for r in one.ingest(part).collect()) == sorted(r[0] for r in two.ingest(part).collect())
+    assert one.pointer()["shards"] == 1 and two.pointer()["shards"] >= 4
+    assert one.pointer()["identifiers"] == two.pointer()["identifiers"]
+    assert two.vacuum(0) > 0 and two.version() == 3
+    again = two.ingest(spark.createDataFrame(data, SCHEMA)).collect()
+    assert all(data[r[0]][1] is None or data[r[0]][2] is None for r in again)
+
+
+def test_the_second_of_two_writers_changes_nothing(spark, tmp_path):
+    a, b = (D.Ledger(spark, str(tmp_path / "ledger"), shards=2) for _ in "ab")
+    one, two = (spark.createDataFrame([(k, 1, k, None, "x", 0, False)], SCHEMA) for k in (1, 2))
+    start = b.pointer()
+    b.pointer = lambda: start  # b has read the ledger before a commits
+    assert [r[0] for r in a.ingest(one).collect()] == [1]
+    import pytest
+
+    with pytest.raises(Exception):
+        b.ingest(two)
+    del b.pointer
+    assert a.ingest(one).count() == 0
+    assert [r[0] for r in b.ingest(two).collect()] == [2]
+
+
+def test_bitmap():
+    import numpy as np
+
+    b = D.Bitmap()
+    codes = np.r_[np.arange(70_000), 200_000]
+    b.unite(codes)
+    c = D.Bitmap()
+    for k, body in b.dump():
+        c.load(k, body)
+    probe = np.array([0, 65_535, 69_999, 70_000, 200_000, 200_001])
+    assert c.test(probe).tolist() == [True, True, True, False, True, False] and c.chunks[0] is None
