@@ -6,9 +6,10 @@ contain it. A word's evidence for a language is the share of its n-grams found t
 rate of false positives. The most likely sequence of languages over the words of a text, with a
 price for each change, gives the stretches.
 
-The filters are fitted on a bounded sample of texts (``SAMPLE``), bootstrapped from function words, not from the labels:
+The filters are fitted on all texts by distributed counts, bootstrapped from function words, not from the labels:
 a sentence counts for a language if the function words in it clearly name one. An n-gram enters the filter of a language
-if it is not much rarer there than where it is most frequent. All texts are then assigned.
+if it is not much rarer there than where it is most frequent and makes up at least ``LEAST_RATE`` of the words, which
+bounds the number of n-grams whatever the corpus; the table has ``ROOM`` slots for each. All texts are then assigned.
 
 Defined results: a null text and one without words has no stretches. A word is a whitespace-separated piece of
 two or more letters, save one trailing mark of punctuation.
@@ -16,6 +17,7 @@ two or more letters, save one trailing mark of punctuation.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -26,13 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
 from .lookalikes import form
 
 LANGS = ("de", "en", "es", "fr", "it", "pt", "ru", "uk")
-#: Texts that the filters are fitted on, at most.
-SAMPLE = 12_000
-#: Bytes of the table, and lookups for each n-gram.
-SLOTS, LOOKUPS = 1 << 20, 2
+#: Least bytes of the table, its bytes for each n-gram, and lookups for each n-gram. A byte has a bit for each language.
+SLOTS, ROOM, LOOKUPS = 1 << 20, 8, 2
+#: Share of a language's words that an n-gram must occur in to enter its filter, and the least count.
+LEAST_RATE, LEAST_COUNT = 1e-6, 2
+#: Share of its highest rate over the languages at which an n-gram still counts for another one.
+MUCH_RARER = 0.12
 #: Price of a change of language, in evidence of full words; the least words and evidence of a stretch that counts.
 CHANGE, LEAST_WORDS, LEAST_MARGIN = 1.6, 3, 0.9
 #: Weight of a word that is in no filter as a whole, most often a name.
@@ -90,14 +95,17 @@ def _grams(word: str) -> list[str]:
     return out
 
 
-def _slots(grams: Sequence[str]) -> np.ndarray:
-    h = np.array([xxhash.xxh3_64_intdigest(g) for g in grams], np.uint64)
+def _hashes(grams: Sequence[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(g) for g in grams], np.uint64)
+
+
+def _slots(h: np.ndarray, size: int) -> np.ndarray:
     a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
-    return np.stack([((a + np.uint64(k) * b) % np.uint64(SLOTS)).astype(np.int64) for k in range(LOOKUPS)])
+    return np.stack([((a + np.uint64(k) * b) % np.uint64(size)).astype(np.int64) for k in range(LOOKUPS)])
 
 
 class Filters:
-    """The fitted filters: ``table`` is what is sent to the tasks, 1 MB whatever the corpus."""
+    """The fitted filters: ``table`` is what is sent to the tasks."""
 
     def __init__(self, table: np.ndarray):
         self.table = table
@@ -106,43 +114,9 @@ class Filters:
         self.memo: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
 
-    @classmethod
-    def fit(cls, texts: Sequence[str]) -> Filters:
-        owner = {k: frozenset(v.split()) for k, v in _FUNCTION.items()}
-        seen: dict[str, Counter] = {k: Counter() for k in LANGS}
-        small = {w for t in texts for w in words(t) if w[0].islower()}  # words only ever written large are names, save German nouns
-        for t in texts:
-            for part in _SENTENCE.split(t or ""):
-                w = [x.lower() for x in words(part)]
-                if len(w) < 3:
-                    continue
-                votes = sorted(((sum(x in owner[k] for x in w), k) for k in LANGS), reverse=True)
-                if votes[0][0] >= 2 and votes[0][0] >= 2 * votes[1][0] or votes[0][0] >= 4 and votes[0][0] >= votes[1][0] + 3:
-                    seen[votes[0][1]].update(x for x in w if x in small)
-        for k in LANGS:
-            for w in owner[k]:
-                if len(w) > 1:
-                    seen[k][w] += 3
-        grams: dict[str, np.ndarray] = {}
-        total = np.zeros(len(LANGS))
-        for j, k in enumerate(LANGS):
-            for w, n in seen[k].items():
-                for g in _grams(w):
-                    grams.setdefault(g, np.zeros(len(LANGS)))[j] += n
-                total[j] += n
-        names = list(grams)
-        rate = np.array([grams[g] for g in names]) / np.maximum(total, 1)
-        enough = np.array([grams[g] for g in names]) >= 2
-        inside = enough & (rate >= 0.12 * rate.max(axis=1, keepdims=True))
-        mask = (inside * (1 << np.arange(len(LANGS)))).sum(axis=1).astype(np.uint8)
-        table = np.zeros(SLOTS, np.uint8)
-        for s in _slots(names):
-            np.bitwise_or.at(table, s, mask)
-        return cls(table)
-
     def _evidence(self, word: str) -> np.ndarray:
         g = _grams(word)
-        mask = np.bitwise_and.reduce(self.table[_slots(g)], axis=0)
+        mask = np.bitwise_and.reduce(self.table[_slots(_hashes(g), len(self.table))], axis=0)
         hit = np.unpackbits(mask[:, None], axis=1, bitorder="little").astype(np.float64)
         share = np.clip((hit.mean(axis=0) - self.false) / (1 - self.false), 0, 1)
         full = hit[-1]
@@ -229,16 +203,97 @@ class Filters:
         return out
 
 
-def sample(df: DataFrame, row_id: str, text: str, most: int) -> list[str]:
-    """At most about ``most`` texts, chosen by the hash of the row id."""
-    n = df.count()
-    cut = int(1_000_000 * min(1.0, most / max(1, n)))
-    got = df.where((F.pmod(F.xxhash64(row_id), F.lit(1_000_000)) < cut) & F.col(text).isNotNull()).select(F.col(text).alias("t")).limit(2 * most).toArrow()
-    return got["t"].to_pylist()
+def _votes() -> dict[str, list[int]]:
+    out: dict[str, list[int]] = {}
+    for j, k in enumerate(LANGS):
+        for w in set(_FUNCTION[k].split()):
+            out.setdefault(w, []).append(j)
+    return out
+
+
+_WORD_ROW = "word string, small int, " + ", ".join(f"{k} long" for k in LANGS)
+_GRAM_ROW = "h long, " + ", ".join(f"{k} long" for k in LANGS)
+#: Distinct words or n-grams that a task counts before it passes them on.
+_HELD = 200_000
+
+
+def _counted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the sentences whose function words name a language, by language; ``small`` tells whether a word is ever written small."""
+    owners, seen, small = _votes(), Counter(), set()
+
+    def rows() -> pa.RecordBatch:
+        names = sorted({w for w, _ in seen} | small)
+        at = {w: k for k, w in enumerate(names)}
+        n = np.zeros((len(LANGS), len(names)), np.int64)
+        for (w, j), c in seen.items():
+            n[j, at[w]] = c
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([int(w in small) for w in names], pa.int32()), *map(pa.array, n)], ["word", "small", *LANGS])
 
+    for b in batches:
+        for t in b.column("text").to_pylist():
+            for part in _SENTENCE.split(t or ""):
+                own = words(part)
+                small.update(x for x in own if x[0].islower())
+                if len(own) < 3:
+                    continue
+                low = [x.lower() for x in own]
+                votes = [0] * len(LANGS)
+                for x in low:
+                    for j in owners.get(x, ()):
+                        votes[j] += 1
+                j = max(range(len(LANGS)), key=lambda k: (votes[k], LANGS[k]))
+                second = max(v for k, v in enumerate(votes) if k != j)
+                if votes[j] >= 2 and votes[j] >= 2 * second or votes[j] >= 4 and votes[j] >= second + 3:
+                    seen.update((x, j) for x in low)
+        if len(seen) + len(small) > _HELD:
+            yield rows()
+            seen, small = Counter(), set()
+    if seen or small:
+        yield rows()
+
+
+def _counted_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the n-grams of counted words, by hash and language."""
+    for b in batches:
+        lists = [_grams(w) for w in b.column("word").to_pylist()]
+        h = _hashes([g for x in lists for g in x]) if lists else np.zeros(0, np.uint64)
+        at = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        keys, inverse = np.unique(h, return_inverse=True)
+        n = np.zeros((len(LANGS), len(keys)), np.int64)
+        for j, k in enumerate(LANGS):
+            np.add.at(n[j], inverse, b.column(k).to_numpy(zero_copy_only=False)[at])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, n)], ["h", *LANGS])
+
+
+def fit(df: DataFrame, text: str) -> Filters:
+    """Filters from all texts. What reaches the driver are the masks of the n-grams in the filters, united by slot."""
+    spark = df.sparkSession
+    sums = [F.sum(k).alias(k) for k in LANGS]
+    seen = df.select(df[text].cast("string").alias("text")).where("text is not null").mapInArrow(_counted_words, _WORD_ROW)
+    given = [(w, 1, *[3 if w in _FUNCTION[k].split() else 0 for k in LANGS]) for w in sorted({w for v in _FUNCTION.values() for w in v.split() if len(w) > 1})]
+    # words only ever written large are names, save German nouns
+    counted = seen.unionByName(spark.createDataFrame(given, _WORD_ROW)).groupBy("word").agg(F.max("small").alias("small"), *sums).where("small = 1")
+    counted = materialize(counted.where(" + ".join(LANGS) + " > 0"), "words")
+    total = counted.agg(*sums).first()
+    grams = counted.mapInArrow(_counted_grams, _GRAM_ROW).groupBy("h").agg(*sums)
+    rate = [F.col(k) / F.lit(float(max(1, total[k] or 0))) for k in LANGS]
+    top = F.greatest(*rate)
+    mask = F.lit(0)
+    for j, (k, r) in enumerate(zip(LANGS, rate)):
+        inside = (F.col(k) >= LEAST_COUNT) & (r >= LEAST_RATE) & (r >= MUCH_RARER * top)
+        mask = mask + F.when(inside, 1 << j).otherwise(0)
+    masks = materialize(grams.select("h", mask.cast("int").alias("mask")).where("mask > 0"), "grams")
+    size = max(SLOTS, 1 << math.ceil(math.log2(max(1, ROOM * masks.count()))))
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = _slots(b.column("h").to_numpy().view(np.uint64), size)
+            yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(np.tile(b.column("mask").to_numpy(), LOOKUPS))], ["slot", "mask"])
 
-def fit(df: DataFrame, row_id: str, text: str, most: int = SAMPLE) -> Filters:
-    return Filters.fit(sample(df, row_id, text, most))
+    got = masks.mapInArrow(slots, "slot long, mask int").groupBy("slot").agg(F.bit_or("mask").cast("short").alias("mask")).toArrow()
+    table = np.zeros(size, np.uint8)
+    table[got["slot"].to_numpy()] = got["mask"].to_numpy().astype(np.uint8)
+    return Filters(table)
 
 
 def assign(df: DataFrame, filters: Filters, row_id: str, text: str, label: str | None = None) -> DataFrame:

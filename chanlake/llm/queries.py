@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import deliveries
 from ..sources.tables import spread, table
-from . import abuse, languages, leaks, lookalikes, mixing, neardup, personal, residue
+from . import abuse, languages, leaks, lookalikes, mixing, neardup, personal, residue, samples
 
 
 def _messages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -67,7 +67,7 @@ def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filters = languages.fit(table(spark, sf_dir, "messages"), "delivery_id", "text")
+    filters = languages.fit(_messages(spark, sf_dir), "text")
     return languages.assign(_messages(spark, sf_dir, "lang"), filters, "delivery_id", "text", "lang")
 
 
@@ -81,7 +81,7 @@ def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = abuse.fit(languages.sample(table(spark, sf_dir, "messages"), "delivery_id", "text", abuse.SAMPLE))
+    net = abuse.fit(samples.sample(table(spark, sf_dir, "messages"), "delivery_id", "text", abuse.SAMPLE))
     return abuse.scores(_messages(spark, sf_dir, "channel_id", "backend"), net, "delivery_id", "text", ["channel_id", "backend"])
 
 
@@ -113,7 +113,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return residue.judged(_documents(spark, sf_dir), residue.Residue.fit(languages.sample(d, "doc_id", "text", residue.SAMPLE)), "doc_id", "text")
+    return residue.judged(_documents(spark, sf_dir), residue.Residue.fit(samples.sample(d, "doc_id", "text", residue.SAMPLE)), "doc_id", "text")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
