@@ -10,8 +10,12 @@ if they look the same:
 * a token of shared shapes only takes the alphabet of the nearest other token, unless the corpus vocabulary has the
   word in the other alphabet and not in this one.
 
-The vocabulary is needed only for words of shared shapes; it is a Bloom filter of fixed size over
-all texts. A false positive may choose the other alphabet, alike for all texts of that shape.
+The vocabulary is needed only for words of shared shapes, as no other word can be written in two alphabets; it is a Bloom filter over
+all texts, sized by the number of such words. A false positive may choose the other alphabet, alike for all texts of that shape.
+
+:func:`repair` is the narrower correction: only tokens that mix alphabets are rewritten in their dominant one, and
+only if the corpus has the result. It leaves texts that look the same unequal where a whole word is written in look-alikes, so it
+serves reading and the form serves comparing.
 
 Case, accents, punctuation, line breaks and emoji (with their joiners and selectors) stay as they are. Null stays null and
 equals nothing; an empty text is a text.
@@ -35,8 +39,8 @@ from ..plans.scratch import materialize
 # Letters of one shape in two alphabets, position by position.
 _CYRILLIC = ("АВЕЅІЈКМНОРСТХԚԜаеѕіјорсухһԁԛԝ", "ABESIJKMHOPCTXQWaesijopcyxhdqw")
 _GREEK = ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj")
-#: Bits of the vocabulary filter.
-BITS = 1 << 22
+#: Least bits of the vocabulary filter, its bits for each word, and the most that are sent to the tasks.
+BITS, ROOM, MOST_BITS = 1 << 20, 16, 1 << 33
 #: Bytes of one bitmap of Spark's bitmap aggregates, which unite the filters of all tasks with map-side combining.
 _CHUNK = 4096
 
@@ -76,6 +80,7 @@ _BACK = {"CYRILLIC": {ord(v): k for k, v in zip(*_CYRILLIC)}, "GREEK": {ord(v):
 _SHARED = {"CYRILLIC": set(_CYRILLIC[1]), "GREEK": set(_GREEK[1])}
 _OTHER = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯ]")
 _WORD = re.compile(r"[^\W\d_]+")
+_LATIN = re.compile("[A-Za-z]")
 _SAME = re.compile(f"(?<![^\\W\\d_])(?:[{_CYRILLIC[0]}]+|[{_CYRILLIC[1]}]+)(?![^\\W\\d_])")
 
 
@@ -147,32 +152,62 @@ def form(text: str, known=lambda w: True) -> str:
     return _WORD.sub(one, s)
 
 
-def _bits(words: Sequence[str], bits: int) -> np.ndarray:
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+def repair(text: str, known=lambda w: True) -> str:
+    """The text with look-alikes substituted in tokens that mix alphabets, where the corpus has the result."""
+    if text.isascii() or not _OTHER.search(text):
+        return text
+
+    def one(m: re.Match) -> str:
+        w = m[0]
+        if not _OTHER.search(w) or not _LATIN.search(w):
+            return w
+        own = _own(unicodedata.normalize("NFC", w.translate(_SHAPE)))
+        script = ("LATIN", "CYRILLIC", "GREEK")[max(range(3), key=lambda k: (own[k], -k))]
+        new = _write(unicodedata.normalize("NFC", w.translate(_SHAPE)), script)
+        return new if known(new) else w
+
+    return _WORD.sub(one, text)
+
+
+def _hashes(words: Sequence[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+
+
+def _bits(h: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([h % np.uint64(bits), (h >> np.uint64(32)) * np.uint64(2654435761) % np.uint64(bits)]).astype(np.int64)
 
 
-def vocabulary(texts: DataFrame, text: str, bits: int = BITS) -> np.ndarray:
-    """Bloom filter over all words of shared shapes that are written in one alphabet."""
-    if bits % (8 * _CHUNK):
-        raise ValueError(f"bits must be a multiple of {8 * _CHUNK}")
+def vocabulary(texts: DataFrame, text: str, pattern: re.Pattern = _SAME, room: int = ROOM) -> np.ndarray:
+    """Bloom filter over all words that match ``pattern``: by default those of shared shapes that are written in one alphabet."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(bits, bool)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[str] = set()
         for b in batches:
-            words: set[str] = set()
             for t in b.column("text").to_pylist():
                 if t:
-                    words.update(_SAME.findall(plain(t)))
-            if words:
-                field[_bits(list(words), bits)] = True
+                    held.update(pattern.findall(plain(t)))
+            if len(held) > 200_000:
+                yield from emit(pa.table({"h": _hashes(sorted(held)).view(np.int64)}))
+                held = set()
+        if held:
+            yield from emit(pa.table({"h": _hashes(sorted(held)).view(np.int64)}))
+
+    words = materialize(texts.select(texts[text].cast("string").alias("text")).mapInArrow(found, "h long").distinct(), "vocabulary")
+    bits = max(BITS, 1 << (max(1, room * words.count()) - 1).bit_length())
+    if bits > MOST_BITS:
+        raise ValueError(f"the vocabulary needs {bits} bits, more than {MOST_BITS}")
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = np.zeros(bits, bool)
+        for b in batches:
+            if b.num_rows:
+                field[_bits(b.column("h").to_numpy().view(np.uint64), bits)] = True
         packed = np.packbits(field).reshape(-1, _CHUNK)
         at = np.flatnonzero(packed.any(axis=1))
         yield from emit(pa.table({"part": pa.array(at, pa.int32()), "body": pa.array([packed[k].tobytes() for k in at], pa.binary())}))
 
-    parts = texts.select(texts[text].alias("text")).mapInArrow(run, "part int, body binary")
     out = np.zeros((bits // 8 // _CHUNK, _CHUNK), np.uint8)
-    for k, body in parts.groupBy("part").agg(F.bitmap_or_agg("body").alias("body")).collect():
+    for k, body in words.mapInArrow(filled, "part int, body binary").groupBy("part").agg(F.bitmap_or_agg("body").alias("body")).toLocalIterator():
         out[k] = np.frombuffer(body, np.uint8)
     return np.unpackbits(out.reshape(-1)).astype(bool)
 
@@ -185,14 +220,14 @@ def _known(field: np.ndarray):
         if got is None:
             if len(memo) > 100_000:
                 memo.clear()
-            got = memo[word] = bool(field[_bits([word], len(field))].all())
+            got = memo[word] = bool(field[_bits(_hashes([word]), len(field))].all())
         return got
 
     return known
 
 
-def forms(df: DataFrame, columns: Sequence[str], text: str, filter_: np.ndarray) -> DataFrame:
-    """``columns``, the text and its form."""
+def forms(df: DataFrame, columns: Sequence[str], text: str, filter_: np.ndarray, make=form) -> DataFrame:
+    """``columns``, the text and its form (or what else ``make`` gives)."""
     sent = df.sparkSession.sparkContext.broadcast(np.packbits(filter_))
     names = [f"c{k}" for k in range(len(columns))]
     src = df.select(*[df[c].alias(n) for c, n in zip(columns, names)], df[text].cast("string").alias("text"))
@@ -201,7 +236,7 @@ def forms(df: DataFrame, columns: Sequence[str], text: str, filter_: np.ndarray)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _known(np.unpackbits(sent.value).astype(bool))
         for b in batches:
-            out = [None if t is None else form(t, known) for t in b.column("text").to_pylist()]
+            out = [None if t is None else make(t, known) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*names, "text", "form"])
 
     return src.mapInArrow(run, f"{schema}, text string, form string").select(*[F.col(n).alias(c) for n, c in zip(names, columns)], "text", "form")
@@ -215,7 +250,8 @@ def _prints(df: DataFrame, key: str, field: str) -> DataFrame:
 def pairs(prints: DataFrame) -> DataFrame:
     """(field, key_a, key_b) for rows of one form and different text, key_a < key_b.
 
-    Only forms that are written in more than one way take part, so copies of one string never meet.
+    Only forms that are written in more than one way take part, so copies of one string never meet. A form that many rows write in two
+    ways still has a square number of pairs; :func:`classes` gives the same without them.
     """
     p = materialize(prints, "prints")
     mixed = p.groupBy("field", "h1", "h2").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a <> b").select("field", "h1", "h2")
@@ -223,3 +259,14 @@ def pairs(prints: DataFrame) -> DataFrame:
     a = p.select("field", "h1", "h2", F.col("key").alias("key_a"), F.col("v").alias("va"))
     b = p.select("field", "h1", "h2", F.col("key").alias("key_b"), F.col("v").alias("vb"))
     return a.join(b, ["field", "h1", "h2"]).where("key_a < key_b and va <> vb").select("field", "key_a", "key_b").distinct()
+
+
+def classes(prints: DataFrame) -> DataFrame:
+    """(field, key, class_id, ways, rows): rows of forms that are written in more than one way, one row each and no pairs.
+
+    ``class_id`` is the smallest key of the class, ``ways`` the number of different texts, ``rows`` that of rows.
+    """
+    p = materialize(prints, "prints")
+    ways = p.groupBy("field", "h1", "h2", "v").agg(F.min("key").alias("key"), F.count("*").alias("n"))
+    c = ways.groupBy("field", "h1", "h2").agg(F.min("key").alias("class_id"), F.count("*").alias("ways"), F.sum("n").alias("rows")).where("ways > 1")
+    return p.join(c, ["field", "h1", "h2"]).select("field", "key", "class_id", "ways", "rows")

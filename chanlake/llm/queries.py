@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import deliveries
 from ..sources.tables import spread, table
+from .oracles import ORACLES  # noqa: F401  (with QUERIES, what the entry reads)
 from . import abuse, languages, leaks, lookalikes, mixing, neardup, personal, residue, samples
 
 
@@ -22,9 +23,9 @@ def _posts(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     """Kept messages of at least 40 tokens, by pairs of adjacent tokens."""
     keys = ("channel_id", "message_id", "scraped_at")
     m = _messages(spark, sf_dir, *keys)
-    s = neardup.with_digests(m, "delivery_id", "text", 2, 40, keys)
-    kept = deliveries.keep_one(s, ["id", "text", "s1", "s2"], row_id="id")
-    return neardup.NearDuplicates(kept, width=2, threshold=0.7)
+    s = neardup.digests(m, "delivery_id", "text", 2, 40, keys)
+    kept = deliveries.keep_one(s, ["id", "s1", "s2"], row_id="id")
+    return neardup.NearDuplicates(kept, m, "delivery_id", "text", width=2, threshold=0.7)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +37,27 @@ def _vocabulary(spark: SparkSession, sf_dir: str):
     return lookalikes.vocabulary(texts, "text")
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vocabulary(spark, sf_dir)
     texts = lookalikes.forms(_messages(spark, sf_dir), ["delivery_id"], "text", v)
     titles = lookalikes.forms(table(spark, sf_dir, "channels").select("id", "title").distinct(), ["id"], "title", v)
-    return lookalikes.pairs(lookalikes._prints(texts, "delivery_id", "text").unionByName(lookalikes._prints(titles, "id", "title")))
+    return lookalikes._prints(texts, "delivery_id", "text").unionByName(lookalikes._prints(titles, "id", "title"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.pairs(_prints(spark, sf_dir))
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share their form with other texts, by class; a title counts once for each way in which its channel wrote it."""
+    return lookalikes.classes(_prints(spark, sf_dir))
+
+
+def p3_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with a token of mixed alphabets that the corpus knows in one."""
+    m = _messages(spark, sf_dir)
+    v = lookalikes.vocabulary(m, "text", lookalikes._WORD)
+    return lookalikes.forms(m, ["delivery_id"], "text", v, lookalikes.repair).where("text <> form").select("delivery_id", F.col("form").alias("repaired"))
 
 
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +144,5 @@ def p10_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_redacted, p3_found, p3_forms, p5_found, p5_stretches, p6_found, p6_scores, p6_rates, p7_found, p8_found, p8_spans, p9_mixture, p9_shares, p10_found, p10_kept)
+    for f in (p2_found, p2_redacted, p3_found, p3_classes, p3_forms, p3_repaired, p5_found, p5_stretches, p6_found, p6_scores, p6_rates, p7_found, p8_found, p8_spans, p9_mixture, p9_shares, p10_found, p10_kept)
 }
-ORACLES: dict[str, str] = {}

@@ -30,3 +30,24 @@ def test_pairs(spark):
     got = sorted((r[1], r[2]) for r in K.pairs(K._prints(f, "delivery_id", "text")).collect())
     assert got == [(1, 2), (2, 3), (6, 7), (8, 9)]
     assert K.pairs(K._prints(f.limit(0), "delivery_id", "text")).count() == 0
+
+
+def test_classes_without_pairs(spark):
+    rows = [(k, "lost cat" if k % 2 else "lοst cat") for k in range(50)] + [(90, "alone"), (91, None)]
+    df = spark.createDataFrame(rows, "delivery_id long, text string")
+    f = K.forms(df, ["delivery_id"], "text", K.vocabulary(df, "text"))
+    got = {tuple(r) for r in K.classes(K._prints(f, "delivery_id", "text")).collect()}
+    assert got == {("text", k, 0, 2, 50) for k in range(50)}
+    assert K.classes(K._prints(f.limit(0), "delivery_id", "text")).count() == 0
+
+
+def test_vocabulary_grows_and_repair_asks_it(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "paypal сор"), (2, "pаypal хаха"), (3, "qаzz")], "delivery_id long, text string")
+    v = K.vocabulary(df, "text", K._WORD)
+    known = K._known(v)
+    assert K.repair("pаypal хаха", known) == "paypal хаха" and K.repair("qаzz", known) == "qаzz"
+    monkeypatch.setattr(K, "MOST_BITS", 1 << 10)
+    import pytest
+
+    with pytest.raises(ValueError):
+        K.vocabulary(df, "text")

@@ -44,8 +44,8 @@ def corpus(n, seed):
 
 def run(spark, rows, width, t, least):
     df = spark.createDataFrame([(*x, "clash", 1) for x in rows], "delivery_id long, text string, id string, n int").repartition(4)
-    s = N.with_digests(df, "delivery_id", "text", width, least)
-    return {tuple(r) for r in N.NearDuplicates(s, width, t).classes().collect()}
+    s = N.digests(df, "delivery_id", "text", width, least)
+    return {tuple(r) for r in N.NearDuplicates(s, df, "delivery_id", "text", width, t).classes().collect()}
 
 
 @pytest.mark.parametrize(("width", "t", "least"), [(2, 0.7, 10), (5, 0.8, 0)])
@@ -66,9 +66,34 @@ def test_empty(spark):
     assert run(spark, [], 2, 0.7, 0) == set()
 
 
-def test_trie():
-    t = N.PrefixTree()
-    for k, s in enumerate(([1, 2, 3, 4], [1, 2, 3, 5], [7, 8])):
-        t.insert(s, k)
-    assert sorted(t.probe({1, 2, 3, 4}, 7, 10)) == [(0, 4, 4)]
-    assert sorted(t.probe({1, 2, 3, 4}, 6, 10)) == [(0, 4, 4), (1, 3, 4)]
+def test_few_ordered_ngrams_and_small_steps(spark, monkeypatch):
+    monkeypatch.setattr(N, "ORDERED", 4)
+    monkeypatch.setattr(N, "MATRIX", 64)
+    rows = corpus(120, 3)
+    assert run(spark, rows, 2, 0.7, 10) == brute(rows, 2, 0.7, 10)
+
+
+def test_trie_against_brute_force():
+    import numpy as np
+
+    r = random.Random(4)
+    for n in (2, 3, 7, 30):
+        base = [sorted(r.sample(range(60), r.randrange(3, 25))) for _ in range(3)]
+        sets = []
+        for _ in range(n):
+            s = set(r.choice(base))
+            for _ in range(r.randrange(3)):
+                s ^= {r.randrange(60)}
+            sets.append(np.array(sorted(s or {1})))
+        for num, den in ((7, 10), (9, 10), (1, 1)):
+            par = list(range(n))
+            for x, y, c in N.PrefixTree(sets).links(num, den):
+                assert c == len({*sets[x].tolist()} & {*sets[y].tolist()})
+                par = [par[x] if p == par[y] else p for p in par]
+            good = [[len({*a.tolist()} & {*b.tolist()}) * den >= num * len({*a.tolist()} | {*b.tolist()}) for b in sets] for a in sets]
+            full = list(range(n))
+            for x in range(n):
+                for y in range(n):
+                    if good[x][y]:
+                        full = [full[x] if p == full[y] else p for p in full]
+            assert [par.index(p) for p in par] == [full.index(p) for p in full]
