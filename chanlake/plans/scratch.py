@@ -46,6 +46,29 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes | None:
+    """A small file of any file system, or None if there is none."""
+    got = spark.read.format("binaryFile").load(path).select("content").first() if exists(spark, path) else None
+    return None if got is None else bytes(got[0])
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_bytes(spark: SparkSession, path: str, body: bytes) -> None:
+    """A file written beside its place and then moved there, so that it is never seen half."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    p, part = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex[:8]}")
+    system = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = system.create(part, True)
+    out.write(bytearray(body))
+    out.close()
+    if not system.rename(part, p):
+        system.delete(part, False)
+
+
 def release(spark: SparkSession) -> None:
     """Delete all intermediate tables of this session; frames that still read them become invalid."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
