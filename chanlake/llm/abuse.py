@@ -3,32 +3,38 @@
 The model is a bidirectional gated recurrent network with attention pooling, written and trained in numpy. Its input
 is a word vector plus the mean of the vectors of the word's character n-grams, so that disguised and
 unseen spellings are read by their characters. A text is scored on all windows of ``WINDOW`` words, one at each word; its
-score is the highest of them. (In training, ordinary language is searched for hard windows ``STRIDE`` words apart.)
-
+score is the highest of them.
 It is trained from the phrases below, in eight languages, with names, disguises and surroundings drawn at random
-from a fixed seed, and on a bounded sample of the texts themselves (``SAMPLE``), which stand for ordinary language
-unless they have a word of the phrases. Training is repeatable and takes under a minute.
+from a fixed seed. Ordinary language is everyday sentences (:mod:`.ordinary`), sequences of function words and
+words of public vocabularies, and a bounded sample of the texts themselves (``SAMPLE``) without those that have a word of the phrases.
+Training is repeatable and takes under a minute; the trained parameters are kept in the shared folder under the
+hash of all that they depend on (:func:`stored`).
 
 Defined results: a null text and one without words score 0.
 """
 
 from __future__ import annotations
 
+import hashlib
+import inspect
+import pickle
 import random
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from . import lookalikes
+from ..plans.scratch import read_bytes, shared_dir, write_bytes
+from . import languages, lookalikes, ordinary
 
-WINDOW, STRIDE, HIDDEN, SLOTS = 16, 8, 24, 1 << 12
-#: Texts of the corpus that stand for ordinary language in training, at most.
-SAMPLE = 6_000
+WINDOW, HIDDEN, SLOTS = 16, 24, 1 << 12
+#: Texts of the corpus that stand for ordinary language in training, at most, and windows of random ordinary words.
+SAMPLE, RANDOM = 6_000, 4_000
 #: Windows scored at a time, so that their states stay in the processor's cache.
 BATCH = 512
 #: Texts with a higher score count as abusive.
@@ -296,7 +302,7 @@ class Network:
             g |= {f"W{s}": gW, f"U{s}": gU, f"b{s}": gb}
         return prob, g, dx
 
-    def train(self, rows: list[tuple[list[str], int]], epochs: int = 6, rate: float = 4e-3, seed: int = 11) -> Network:
+    def train(self, rows: list[tuple[list[str], int]], epochs: int = 5, rate: float = 5e-3, seed: int = 11) -> Network:
         r = np.random.default_rng(seed)
         words = {w: k for k, w in enumerate(sorted({w for x, _ in rows for w in x}))}
         grams = [np.array(_grams(w)) for w in words]
@@ -313,7 +319,7 @@ class Network:
         step = 0
         for epoch in range(epochs):
             lr = rate * (1 - epoch / epochs) + rate / 20
-            for at in np.array_split(r.permutation(len(rows)), max(1, len(rows) // 128)):
+            for at in np.array_split(r.permutation(len(rows)), max(1, len(rows) // 192)):
                 used, local = np.unique(ids[at], return_inverse=True)
                 local = local.reshape(len(at), WINDOW)
                 k = known[used] * (r.random(len(used)) > 0.25)  # some words are read by their characters only
@@ -447,23 +453,58 @@ class Doubtful:
         return not self.words.isdisjoint(w) or any(x in self.runs for x in zip(w, w[1:], w[2:]))
 
 
-def examples(texts: Sequence[str | None], seed: int = 5) -> list[tuple[list[str], int]]:
+def _insulting() -> set[str]:
+    """Words of the insults, and all words of phrases that no ordinary sentence has."""
+    own = {_clean(w) for n, a in _INSULT.values() for w in f"{n} {a}".replace("_", " ").split() if len(w) > 3}
+    plain = {w for _, t in ordinary.sentences() for w in pieces(t)} | {w for _, p in _phrases(_PLAIN) for w in pieces(re.sub(r"\{\w\}", " ", p))}
+    return own | ({w for _, p in _phrases(_ABUSE) for w in pieces(re.sub(r"\{\w\}", " ", p)) if len(w) > 3} - plain)
+
+
+def examples(texts: Sequence[str | None], seed: int = 5, paths: Sequence[str] = ordinary.VOCABULARIES) -> list[tuple[list[str], int]]:
     """Windows for training: phrases in random surroundings, and ordinary language."""
     r = random.Random(seed)
+    bad = _insulting()
+    common = [w for w in ordinary.words(paths) if w not in bad]
+    function = {k: [w for w in v.split() if w not in bad] for k, v in languages._FUNCTION.items()}
+    everyday = ordinary.sentences()
     doubtful = Doubtful()
     plain = [w for w in (pieces(t) for t in texts) if w and not doubtful(w)]
     r.shuffle(plain)
     rows: list[tuple[list[str], int]] = []
 
+    def random_words(n: int) -> list[str]:
+        """Function words of one language between words of any; frequent words more often."""
+        own = function[r.choice(languages.LANGS)]
+        out = []
+        for _ in range(n):
+            x = r.random()
+            if x < 0.45:
+                out.append(r.choice(own))
+            elif x < 0.92:
+                out.append(common[int(len(common) * r.random() ** 2)])
+            elif x < 0.96:
+                out.append(_name(r, own is function["ru"] or own is function["uk"]))
+            else:
+                a, b = r.choice(common), r.choice(common)
+                out.append(r.choice(("#0", "@", "#url", f"{a}_{b}", f"{a}.{b}()", f"{a}{b.capitalize()}", f"__{a}__", f"{a}-{b}")))
+        return [c for w in out if (c := w if w[0] in "#@" else _clean(w))]
+
+    def surroundings(n: int) -> list[str]:
+        x = r.random()
+        if plain and x < 0.5:
+            w = r.choice(plain)
+            k = r.randint(0, max(0, len(w) - n))
+            return w[k : k + n]
+        return random_words(n) if x < 0.75 else (pieces(r.choice(everyday)[1]) * 4)[:n]
+
     def around(w: list[str]) -> list[str]:
         """The words with ordinary ones before and after, cut to a window."""
-        if plain and r.random() < 0.5 and len(w) < WINDOW:
-            a, b = r.choice(plain), r.choice(plain)
+        if r.random() < 0.5 and len(w) < WINDOW:
             k = r.randint(0, WINDOW - len(w))
-            w = a[len(a) - k :] + w + b[: WINDOW - len(w) - k] if k else w + b[: WINDOW - len(w)]
+            w = surroundings(k) + w + surroundings(WINDOW - len(w) - k)
         return w[:WINDOW]
 
-    for book, y, times in ((_ABUSE, 1, 9), (_PLAIN, 0, 9)):
+    for book, y, times in ((_ABUSE, 1, 9), (_PLAIN, 0, 8)):
         for lang, p in _phrases(book):
             for _ in range(times):
                 t = _fill(r, lang, p)
@@ -475,28 +516,53 @@ def examples(texts: Sequence[str | None], seed: int = 5) -> list[tuple[list[str]
     for nouns, _ in _INSULT.values():
         for w in nouns.split():
             rows += [(around(pieces(_disguise(r, w.replace("_", " ")) if k else w.replace("_", " "))), 1) for k in (0, 1)]
+    for _, t in everyday:
+        for k in range(6):
+            w = pieces(_disguise(r, t) if k == 4 else t)
+            if k % 3 == 2:  # other words in the same frame
+                w = [x if r.random() < 0.7 else r.choice(common) for x in w]
+            rows.append((around(w), 0))
     for w in plain:
         k = r.randint(0, max(0, len(w) - WINDOW))
         rows.append((w[k : k + WINDOW], 0))
+    rows += [(random_words(r.randint(1, WINDOW)), 0) for _ in range(RANDOM)]
     for _ in range(300):
         rows.append(([_name(r, r.random() < 0.3) for _ in range(r.randint(1, 6))], 0))
     return [x for x in rows if x[0]]
 
 
-def fit(texts: Sequence[str | None], seed: int = 5) -> Network:
+def fit(texts: Sequence[str | None], seed: int = 5, paths: Sequence[str] = ordinary.VOCABULARIES) -> Network:
     """Two rounds: the second repeats the windows of ordinary language that the first was in doubt about."""
-    rows = examples(texts, seed)
+    rows = examples(texts, seed, paths)
     count = Counter(w for x, _ in rows for w in set(x))
     net = Network([w for w, n in sorted(count.items()) if n >= 3]).train(rows)
-    doubtful = Doubtful()
-    windows = [w[k : k + WINDOW] for w in (pieces(t) for t in texts) if w and not doubtful(w) for k in range(0, max(1, len(w) - WINDOW // 2), STRIDE)]
     net._reset()
+    doubtful = Doubtful()
+    windows = [w[k : k + WINDOW] for w in (pieces(t) for t in texts) if w and not doubtful(w) for k in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2)]
     hard = [w for w, s in zip(windows, net.score_words(windows)) if 0.1 < s < 0.9]  # what the first round is sure of may well be abuse
-    net.train(rows + 3 * [(w, 0) for w in hard], epochs=4, rate=2e-3)
+    more = [w for w, y in examples((), seed + 1, paths) if not y]
+    hard += [w for w, s in zip(more, net.score_words(more)) if s > 0.1]
+    net.train(rows + 3 * [(w, 0) for w in hard], epochs=4, rate=3e-3)
     net._reset()
     return net
 
 
+def stored(spark: SparkSession, texts: Sequence[str | None], seed: int = 5, paths: Sequence[str] = ordinary.VOCABULARIES) -> Network:
+    """The network trained with these texts out of the shared folder, where it is put when it is first needed."""
+    depends = [inspect.getsource(m) for m in (sys.modules[__name__], ordinary, lookalikes)] + [languages._FUNCTION, texts, seed, *paths]
+    path = f"{shared_dir(spark)}/chanlake-models/abuse-{hashlib.sha256(repr(depends).encode()).hexdigest()[:16]}"
+    if path not in _loaded:
+        body = read_bytes(spark, path)
+        if body is None:
+            body = pickle.dumps(fit(texts, seed, paths).state())
+            write_bytes(spark, path, body)
+        _loaded[path] = pickle.loads(body)
+    return Network.load(_loaded[path])
+
+
+_loaded: dict[str, tuple] = {}
+
+
 def scores(df: DataFrame, net: Network, row_id: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
     """(id, carried columns, score) for every row."""
     sent = df.sparkSession.sparkContext.broadcast(net.state())

@@ -98,8 +98,8 @@ def p5_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = abuse.fit(samples.sample(table(spark, sf_dir, "messages"), "delivery_id", "text", abuse.SAMPLE))
-    return abuse.scores(_messages(spark, sf_dir, "channel_id", "backend"), net, "delivery_id", "text", ["channel_id", "backend"])
+    texts = samples.sample(table(spark, sf_dir, "messages"), "delivery_id", "text", abuse.SAMPLE)
+    return abuse.scores(_messages(spark, sf_dir, "channel_id", "backend"), abuse.stored(spark, texts), "delivery_id", "text", ["channel_id", "backend"])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +129,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return residue.judged(_documents(spark, sf_dir), residue.Residue.fit(samples.sample(d, "doc_id", "text", residue.SAMPLE)), "doc_id", "text")
+    return residue.judged(_documents(spark, sf_dir), residue.fit(), "doc_id", "text")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
+import pytest
 from pyspark.sql import functions as F
 
-from chanlake.llm import abuse, languages, mixing, personal, residue
+from chanlake.llm import abuse, languages, mixing, personal, residue, samples
 
 
 def kinds(text):
@@ -66,7 +67,8 @@ SAMPLES = {
 
 
 def test_languages(spark):
-    f = languages.Filters.fit([t for t in SAMPLES.values()] * 3)
+    texts = spark.createDataFrame([(t, 1) for t in SAMPLES.values()] * 3 + [(None, 1), ("", 1)], "text string, h int").repartition(3)
+    f = languages.fit(texts, "text")
     for k, t in SAMPLES.items():
         assert [s[2] for s in f.stretches([t])[0]] == [k], k
     mixed = f.stretches([SAMPLES["en"] + ". " + SAMPLES["uk"]])[0]
@@ -79,7 +81,27 @@ def test_languages(spark):
     got = languages.disagreements(languages.assign(df, f, "delivery_id", "text", "lang"), "delivery_id")
     assert sorted(map(tuple, got.collect())) == [(1, "en"), (5, "fr")]
     assert languages.assign(df.limit(0), f, "delivery_id", "text", "lang").count() == 0
-    assert languages.Filters.fit([]).stretches(["a word or two"]) is not None
+    assert languages.fit(texts.limit(0), "text").stretches(["a word or two"]) is not None
+
+
+def test_a_full_table_of_ngrams_is_widened(spark, monkeypatch):
+    monkeypatch.setattr(languages, "SLOTS", 64)
+    monkeypatch.setattr(languages, "_HELD", 5)
+    f = languages.fit(spark.createDataFrame([(t,) for t in SAMPLES.values()] * 3, "text string"), "text")
+    assert len(f.table) > 10_000
+    for k, t in SAMPLES.items():
+        assert [s[2] for s in f.stretches([t])[0]] == [k], k
+
+
+def test_samples_are_never_empty(spark):
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 10 = 0 THEN NULL ELSE concat('text ', id) END AS text")
+    assert len(samples.sample(df, "id", "text", 100)) == 100
+    assert samples.sample(df, "id", "text", 100) == samples.sample(df.repartition(7), "id", "text", 100)
+    assert len(samples.sample(df, "id", "text", 100_000)) == 4500
+    assert len(samples.sample(df, "id", "text", 100, rows=10**12)) == 100  # as if of a table far larger
+    for n in (10**6, 10**9, 10**12, 10**15):
+        share = (samples.threshold(2000, n) + (1 << 63)) / (1 << 64) * n
+        assert abs(share - 3000) < 10
 
 
 def test_gradients_of_the_network():
@@ -113,6 +135,8 @@ def test_abuse_on_held_out_texts(spark):
     assert net.score([None, "", "!!!"]).tolist() == [0, 0, 0]
     long = "the team wrote about the bridge " * 2000 + "shut up you stupid moron"
     assert net.score([long])[0] > 0.5  # no window is left out
+    ordinary = "Could you send me the invoice before Friday?|Happy birthday, hope you have a great day|My dog loves running on the beach in the morning|the process was killed because it used too much memory|Our team lost the final but played very well.|Wir treffen uns morgen um acht vor dem Kino.|Он работает инженером на заводе.|Domani andiamo al mare con i bambini.|You can reset your password in the settings menu.|He was charged with assault after the fight outside the bar.".split("|")
+    assert (net.score(ordinary) < 0.9).mean() >= 0.8
     df = spark.createDataFrame([(1, bad[0], "w", 0.0), (2, None, "w", 0.0)], "delivery_id long, text string, backend string, score double")
     got = {r[0]: (r[1], r[2]) for r in abuse.scores(df, net, "delivery_id", "text", ["backend"]).collect()}
     assert got[2] == ("w", 0.0) and got[1][1] > 0.5
@@ -133,9 +157,20 @@ def test_every_window_is_scored():
         assert net.score_words([words[:at] + phrase + words[: 40 - at]])[0] >= best - 1e-6, at
 
 
+#: Written apart from the module's phrases.
+CONTENT = """The committee met on Tuesday to review the budget for the coming year. Members agreed that spending on road repairs should rise by four percent.|Preheat the oven to 180 degrees. Mix the flour, sugar and butter until crumbly, then press into the tin and bake for twenty minutes.|She walked along the shore until the light failed, thinking of the letter that had not come. The sea was quiet and the gulls had gone.|Mitochondria produce most of the chemical energy that a cell needs. Damage to them has been linked to ageing and several diseases.|Revenue for the quarter was 4.2 million, up eleven percent. Operating costs fell as two warehouses were merged.|The home side took the lead after ten minutes through a header from a corner. The visitors equalised just before half time.|Patients should take one tablet twice a day with food. Tell your doctor if you have kidney problems or are pregnant.|Der Ausschuss hat am Dienstag über den Haushalt beraten. Die Mitglieder einigten sich darauf, mehr Geld für Straßen auszugeben.|Le comité s'est réuni mardi pour examiner le budget. Les membres ont décidé d'augmenter les dépenses pour les routes.|El comité se reunió el martes para revisar el presupuesto. Los miembros acordaron gastar más en carreteras.|A comissão reuniu-se na terça-feira para rever o orçamento. Os membros decidiram gastar mais em estradas.|Il comitato si è riunito martedì per esaminare il bilancio. I membri hanno deciso di spendere di più per le strade.|Комитет собрался во вторник, чтобы обсудить бюджет. Члены решили тратить больше на дороги.|Комітет зібрався у вівторок, щоб обговорити бюджет. Члени вирішили витрачати більше на дороги.|To reset the router, hold the button for ten seconds and wait for the light to turn green. If the page does not load, check that JavaScript is enabled in your browser, as the settings page needs it.|When a server returns error 404 the browser shows that the page was not found; administrators should configure a redirect so that visitors reach the right address.|The museum opens at nine and closes at five. Tickets can be bought online or at the entrance, and children under six go free.|We hiked up the valley in heavy rain and camped beside the lake. In the morning the sky was clear and we saw two eagles.|The function returns a list of tuples. Each tuple holds the name and the size of a file in the directory.|Interest rates were left unchanged. Economists had expected a small cut after inflation slowed for the third month in a row.""".split("|")
+RESIDUE = """We could not find the page you were looking for. It may have moved or been removed.|Whoops! That page is missing. Error code 404.|Internal error. Our team has been alerted, come back soon.|Your browser does not support JavaScript, or it is turned off. Switch it on to see this content.|This app works best with JavaScript enabled.|Lorem ipsum dolor sit amet, consectetuer adipiscing elit. Aenean commodo ligula eget dolor.|Dear {{first_name}}, thanks for your order #{{order_id}}. Regards, {{company}}|[Insert headline here] [Insert body here]|The site is down for scheduled maintenance. Please check back shortly.|Access to this page has been denied because we believe you are using automation tools.|Error establishing a database connection|This account has been suspended. Contact your hosting provider for more information.|Sample page. This is an example page. Replace it with your own content.|Die Seite konnte nicht gefunden werden. Zurück zur Startseite.|La page que vous cherchez est introuvable.|No se pudo encontrar la página solicitada. Inténtalo de nuevo más tarde.|Ошибка 404. Страница не существует или была удалена.|Сторінку не знайдено. Поверніться на головну.|Pagina inesistente. Torna alla home page.|Sorry, this video is not available in your country.""".split("|")
+
+
+def manual():
+    """Paragraphs of the language's manual, as far as it is installed."""
+    topics = pytest.importorskip("pydoc_data.topics").topics
+    return [p for v in topics.values() for p in v.split("\n\n") if len(p) > 120]
+
+
 def test_residue(spark):
+    r = residue.fit()
     prose = [f"The {a} team rebuilt {n} records of the {b} archive and signed a protocol about it. Nobody explained why the {b} bridge was closed that night." for a in ("night", "map", "harbour", "survey") for b in ("northern", "old", "public") for n in range(20)]
-    r = residue.Residue.fit(prose)
     bad = ["404 Not Found\nThe requested page could not be located.", "Please enable JavaScript to view this page.", "Hello {{name}}, your plan ends on {{date}}.\nAbout: {{x}}", "Lorem ipsum dolor sit amet, elit magna aliqua.", prose[0].split(". ")[0] + ".\nError 502: bad gateway\nPlease try again in 19 minutes."]
     good = [*prose[:3], " ".join(prose[:4]) + " A 404 Not Found answer means that the page moved.", None, "", "   "]
     assert [e for _, e in r.judge(bad)] == [True] * 5
@@ -146,6 +181,14 @@ def test_residue(spark):
     assert residue.judged(df.limit(0), r, "doc_id", "text").count() == 0
 
 
+def test_residue_outside_the_tables():
+    r = residue.fit()
+    assert sum(e for _, e in r.judge(RESIDUE)) >= 0.9 * len(RESIDUE)
+    assert sum(e for _, e in r.judge(CONTENT)) <= 0.05 * len(CONTENT)
+    pages = manual()
+    assert sum(e for _, e in r.judge(pages)) <= 0.05 * len(pages)
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, source string, n int, finish string")
 
