@@ -9,7 +9,7 @@ The test items are a stated query set. They are sent to all tasks in blocks of a
 searched against all documents.
 
 Defined results: a null or empty text contains nothing, and passages of fewer than ``words`` tokens can't be found.
-Repeated rows of a document or an item change nothing but are reported as often as the document row occurs in :func:`leak_spans`.
+Repeated rows of a document or an item change nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrowkit import emit
@@ -203,9 +204,10 @@ def _found(sent, words: int, spans: bool):
                 for k in unique[keys[d]]:
                     low = texts[k].lower() if len(texts[k].lower()) == len(texts[k]) else texts[k]
                     place = [m.span() for m in TOKEN.finditer(low)]
-                    out += [(ids[k], place[a][0], place[b - 1][1]) for a, b in r if b <= len(place)]
-            cols = list(zip(*out)) or [()] * 3
-            yield from emit(pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("doc", "begin", "end"), cols)}))
+                    h = xxhash.xxh3_64_intdigest(texts[k]) >> 1  # rows of one id may have different texts
+                    out += [(ids[k], h, a, b, place[a][0], place[b - 1][1]) for a, b in r if b <= len(place)]
+            cols = list(zip(*out)) or [()] * 6
+            yield from emit(pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("doc", "h", "first", "last", "begin", "end"), cols)}))
             return
         pairs = {(ids[k], i) for w, d in zip(which.tolist(), doc.tolist()) for i in owners[w] for k in unique[keys[d]]}
         cols = list(zip(*sorted(pairs))) or [()] * 2
@@ -237,7 +239,7 @@ def _found(sent, words: int, spans: bool):
 
 def _search(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, fields: Sequence[str], words: int, spans: bool) -> DataFrame:
     src = docs.select(docs[doc_id].cast("long").alias("doc"), docs[text].cast("string").alias("text"))
-    schema = "doc long, begin long, end long" if spans else "doc long, item long"
+    schema = "doc long, h long, first long, last long, begin long, end long" if spans else "doc long, item long"
     out = None
     for block in _windows(items, item_id, fields, words):
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -252,8 +254,10 @@ def leaked(docs: DataFrame, items: DataFrame, words: int = 12, doc_id: str = "do
 
 
 def leak_spans(docs: DataFrame, items: DataFrame, words: int = 12, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", fields: Sequence[str] = ("passage", "question")) -> DataFrame:
-    """(doc_id, begin, end): merged spans of characters to remove, at least ``words`` tokens each.
-
-    With more than one block of items, spans of different blocks may overlap.
-    """
-    return _search(docs, items, doc_id, text, item_id, fields, words, True).select(F.col("doc").alias(doc_id), "begin", "end")
+    """(doc_id, begin, end): merged spans of characters to remove, at least ``words`` tokens each. Spans that different blocks of
+    items found are merged too. Rows with one id and one text give their spans once."""
+    found = _search(docs, items, doc_id, text, item_id, fields, words, True).distinct()
+    up = Window.partitionBy("doc", "h").orderBy("first", "last", "begin", "end")
+    before = F.max("last").over(up.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("new", F.when(before >= F.col("first"), 0).otherwise(1)).withColumn("run", F.sum("new").over(up))
+    return runs.groupBy("doc", "h", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end")).select(F.col("doc").alias(doc_id), "begin", "end")

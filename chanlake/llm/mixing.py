@@ -32,25 +32,27 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 #: Documents of one bucket of a queue, about.
 BUCKET = 20_000
 
-_encoders: dict[str, object] = {}
+_encoders: dict[int, object] = {}
 
 
-def _encoder(path: str):
-    if path not in _encoders:
+def _encoder(body: bytes):
+    k = hash(body)
+    if k not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _encoders[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in body.splitlines() if line.strip())}
+        _encoders[k] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[k]
 
 
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str = VOCABULARY) -> DataFrame:
-    """(id, source, n): documents with at least one token."""
+    """(id, source, n): documents with at least one token. The vocabulary is read by the driver and sent to the tasks."""
     src = docs.select(docs[doc_id].cast("long").alias("id"), docs[source].cast("string").alias("source"), docs[text].cast("string").alias("text")).dropna()
+    with open(path, "rb") as f:
+        sent = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(path)
+        enc = _encoder(sent.value)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(n, pa.int64())], ["id", "source", "n"])
@@ -101,9 +103,11 @@ class Mixture:
         return p.select(F.col("id").alias(self.doc_id), "source", "copy", F.col("n").alias("n_tokens"), "finish")
 
     def shares(self) -> DataFrame:
-        """(source, target_share, actual_share, tokens, documents, most_copies) for each target."""
+        """(source, target_share, actual_share, tokens, documents, most_copies, unused_tokens) for each target.
+
+        ``unused_tokens`` is what the source could still give within its repeats."""
         p = self.picked()
         got = p.groupBy("source").agg(F.sum("n").alias("tokens"), F.countDistinct("id").alias("documents"), F.max("copy").alias("most_copies"))
         total = F.lit(p.agg(F.sum("n")).first()[0] or 1)
         out = self.goals.join(got, "source", "left").fillna(0, ["tokens", "documents", "most_copies"])
-        return out.select("source", F.col("share").alias("target_share"), (F.col("tokens") / total).alias("actual_share"), "tokens", "documents", "most_copies")
+        return out.select("source", F.col("share").alias("target_share"), (F.col("tokens") / total).alias("actual_share"), "tokens", "documents", "most_copies", (F.col("have") * F.col("most") - F.col("tokens")).alias("unused_tokens"))

@@ -20,7 +20,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import lookalikes
+from . import languages, lookalikes
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 PLACEHOLDER = {k: f"[{k.upper()}]" for k in KINDS}
@@ -212,14 +212,14 @@ _STREETS = frozenset("street road lane avenue drive court square terrace close b
 
 #: Words by which identity numbers in small letters are taken for such.
 _ID_HINT = frozenset(
-    "passport passports national id identity ssn social nino dni nie nif cpf ausweis ausweisnummer personalausweis personalausweisnummer reisepass reisepassnummer steuer steuerid sozialversicherung sozialversicherungsnummer identité passeport sécurité identità codice passaporto cartão bilhete passaporte pasaporte documento refund refunds паспорт паспорта снилс инн удостоверение посвідчення рнокпп іпн".split()
+    "passport passports national id identity ssn social nino dni nie nif cpf ausweis ausweisnummer personalausweis personalausweisnummer reisepass reisepassnummer steuer steuerid sozialversicherung sozialversicherungsnummer identité passeport sécurité identità codice passaporto cartão bilhete passaporte pasaporte documento паспорт паспорта снилс инн удостоверение посвідчення рнокпп іпн".split()
 )
 #: One of these is in whatever _ID_WORD matches; the second are words of their own.
-_ID_STEMS = tuple("passport national identity social ausweis reisepass steuer identité passeport sécurité identità codice passaport cartão bilhete pasaporte documento refund паспорт снилс удостоверение посвідчення".split()) + ("sozialversicherung",)
+_ID_STEMS = tuple("passport national identity social ausweis reisepass steuer identité passeport sécurité identità codice passaport cartão bilhete pasaporte documento паспорт снилс удостоверение посвідчення".split()) + ("sozialversicherung",)
 _ID_ALONE = frozenset("id ssn nino dni nie nif cpf инн рнокпп іпн".split())
 _ID_WORD = re.compile(
     r"passport|national id|\bid (?:card|no|number)|identity|\bssn\b|social security|\bnino\b|\bdni\b|\bnie\b|\bnif\b|\bcpf\b|ausweis|personalausweis|reisepass|steuer-?id|sozialversicherung|carte d['’]identité|passeport|sécurité sociale|"
-    r"carta d['’]identità|codice fiscale|passaporto|cartão de cidadão|bilhete de identidade|passaporte|pasaporte|documento|refunds? quote|паспорт|снилс|\bинн\b|удостоверение|посвідчення|\bрнокпп\b|\bіпн\b",
+    r"carta d['’]identità|codice fiscale|passaporto|cartão de cidadão|bilhete de identidade|passaporte|pasaporte|documento|паспорт|снилс|\bинн\b|удостоверение|посвідчення|\bрнокпп\b|\bіпн\b",
     re.I,
 )
 _ID = re.compile(
@@ -237,6 +237,16 @@ _ID = re.compile(
 _ID_LOWER = re.compile(r"(?<![\w@.#/-])(?:[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d]|[xyz]-?\d{7}-?[a-z]|\d{8}-?[a-z]|[a-z]\d{8,9})(?![\w-]|\.\d)")
 _ID_AFTER = re.compile(r"\w*(?:[ -]?(?:no|nr|num|number|nummer|número|numéro|numero|номер|№|n°|nº|is|ist|:|\.|#))* ?:? ?((?=(?:[ -]?\w)*[ -]?\d{3})[A-Z]{0,3}[ -]?\d[\d -]{4,14}\d(?:[ -]?[A-Z])?)(?!\w)", re.I)
 
+#: International account numbers: country, two check digits, up to 30 letters and digits in groups.
+_ACCOUNT = re.compile(r"(?<![\w@.#/-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
+
+
+def _account(number: str) -> bool:
+    """Whether the check digits are right: the number read with its head behind it leaves 1 when divided by 97."""
+    n = number.replace(" ", "")
+    return 15 <= len(n) <= 34 and int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1
+
+
 _DIGIT = re.compile(r"\d")
 #: As many digits as the shortest identity number has, but for a few separators; or the one that has letters between.
 _MANY = re.compile(r"\d(?:[ .\-]?\d){5}|[A-Z]{6}\d\d[A-Z]\d\d[A-Z]\d{3}[A-Z]")
@@ -302,6 +312,32 @@ _ASK = re.compile(
 _ASK_HINT = tuple("name signed ask interview parcel letter regards sincerely heiße paket rückfragen appelle colis demandez llamo nombre paquete preguntad pregunten chamo nome encomenda chiamo pacco chiedete зовут посылка спросите звати посилка запитайте".split())
 
 
+#: What people do: a name of two or three words with capitals before one of these is a person's.
+_DOES = (
+    "lives lived works worked said says wrote writes signed phoned told thinks was born studied married died wohnt wohnte arbeitet arbeitete sagt sagte schrieb schreibt meint wurde geboren studierte heiratete starb habite habitait travaille a dit dit a écrit écrit est né est née "
+    "vive vivía trabaja dijo dice escribió nació estudió mora vivia trabalha disse diz escreveu nasceu abita abitava lavora ha detto dice ha scritto è nato è nata живёт живет жил жила работает сказал сказала пишет написал написала родился родилась мешкає живе працює сказав сказала пише написав написала народився народилась"
+)
+_DOES_ONE = frozenset(w for w in _DOES.split() if len(w) > 2)
+_DOING = "|".join(sorted({*_DOES_ONE, "was born", "wurde geboren", "a dit", "a écrit", "est née?", "ha detto", "ha scritto", "è nat[oa]"} - {"was", "wurde", "est"}, key=len, reverse=True))
+_DOER = re.compile(rf"(?<![\w@#.])({_CAP}(?: (?:(?:van|von|de|da|di|del|bin|al|el) )?{_CAP}){{1,2}}),? (?:{_DOING})(?!\w)")
+#: What is said before people: the same after one of these.
+_TOLD = "contact|dear|tell|call|phone|email|met|meet|thank|thanks to|patient|professor|teacher|nurse|lawyer|engineer|kontaktieren Sie|liebe|lieber|Patient|Patientin|Lehrer|Lehrerin|contactez|cher|chère|patiente|contacte a|querido|querida|paciente|caro|cara|contatti|gentile|paziente|дорогой|дорогая|пациент|пациентка|свяжитесь с|шановний|шановна|пацієнт|пацієнтка"
+_CALLED = re.compile(rf"(?<!\w)(?i:{_TOLD}) ({_CAP}(?: (?:(?:van|von|de|da|di|del|bin|al|el) )?{_CAP}){{1,2}})(?!\w)")
+_CALLED_HINT = tuple(max(w.split(), key=len).lower() for w in _TOLD.split("|"))
+#: Words with capitals that name no person.
+_NO_NAME = _STREETS | _NOT_BEFORE | frozenset(
+    "the a an this that these those my your our his her its their group team mapping office university company department ministry committee council army city town village county north south east west new old great world national international royal central general "
+    "bank house market church hall centre center press news times post radio tv agency institute foundation society association league party court government river lake mount mountain island bay cape valley sea ocean king queen saint labs inc ltd gmbh llc sa spa ooo "
+    "die der das ein eine le la les un une el los las una il lo gli i o a os as um uma gruppe groupe grupo gruppo группа група nobody niemand personne nadie ninguém nessuno никто ніхто everyone somebody version thread".split()
+) | frozenset(w for v in languages._FUNCTION.values() for w in v.split())
+#: Before a place rather than a person.
+_PLACED = frozenset("in from near at around of aus bei nach à depuis en desde a em da dal di в из у под з із біля до".split())
+
+
+def _named(name: str) -> bool:
+    return all(w.lower() not in _NO_NAME and w.lower() not in _COMMON and len(w) > 1 and not w.isupper() for w in name.split() if w[0].isupper())
+
+
 def _persons(s: str, words: Words, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     if words.some(_TITLE_HINT):
         for m in _TITLED.finditer(s):
@@ -315,7 +351,7 @@ def _persons(s: str, words: Words, taken: list[tuple[int, int]]) -> Iterator[tup
             fa, fb = a.lower() in FIRST, b.lower() in FIRST
             if not (fa or fb) or not _free(m.span(), taken):
                 continue
-            if fa and _surname(b, a) and _before(s, m.start()) not in _NOT_BEFORE and _after(s, m.end()) not in _STREETS:
+            if fa and _surname(b, a) and _before(s, m.start()) not in _NOT_BEFORE and _STREETS.isdisjoint(_next(s, m.end())):
                 yield m.span()
                 at = m.end()
             elif fb and not fa and len(a) > 2 and a.isupper() and (b[0].isupper() and not b.isupper()) and not m[2].strip():
@@ -323,6 +359,14 @@ def _persons(s: str, words: Words, taken: list[tuple[int, int]]) -> Iterator[tup
                 at = m.end()
             elif fb and not fa and a[0].isupper() and s[m.end(1)] == "," and b[0].isupper():
                 yield m.span()
+    if words.some(_DOES_ONE):
+        for m in _DOER.finditer(s):
+            if _free(m.span(1), taken) and _named(m[1]) and _before(s, m.start(1)) not in _NOT_BEFORE | _PLACED:
+                yield m.span(1)
+    if words.holds(_CALLED_HINT):
+        for m in _CALLED.finditer(s):
+            if _free(m.span(1), taken) and _named(m[1]) and _after(s, m.end(1)) not in _STREETS:
+                yield m.span(1)
     for m in _ASK.finditer(s) if words.holds(_ASK_HINT) else ():
         if _free(m.span(1), taken) and m[1].split()[0].lower() not in _NOT_BEFORE and m[1].split()[-1].lower() not in _STREETS:
             yield m.span(1)
@@ -350,6 +394,12 @@ def _after(s: str, at: int) -> str:
     return m[1].lower() if m else ""
 
 
+def _next(s: str, at: int) -> list[str]:
+    """The next word, and the one after it if the first has a capital."""
+    m = re.match(rf" ([^\W\d_]+)(?:(?<=[\w]) ([^\W\d_]+))?", s[at : at + 40])
+    return [w.lower() for w in (m[1], m[2] if m[1][0].isupper() else None) if w] if m else []
+
+
 def _free(span: tuple[int, int], taken: list[tuple[int, int]]) -> bool:
     return all(span[1] <= a or span[0] >= b for a, b in taken)
 
@@ -373,6 +423,9 @@ def _found(s: str, words: Words) -> list[tuple[int, int, str]]:
         if _MANY.search(s):
             for m in _ID.finditer(s):
                 take(m.span(), "id_number")
+            for m in _ACCOUNT.finditer(s):
+                if _account(m[0]):
+                    take(m.span(), "id_number")
         announced = not words.runs.isdisjoint(_ID_HINT)
         if words.some(_ID_ALONE) or words.holds(_ID_STEMS):
             for w in _ID_WORD.finditer(s):

@@ -32,4 +32,6 @@ def test_leaked(spark, monkeypatch):
     spans = sorted(map(tuple, L.leak_spans(d, i).collect()))
     assert spans[0][:2] == (1, 2) and docs[0][1][spans[0][1] : spans[0][2]].startswith("W0")
     assert [docs[4][1][b:e] for k, b, e in spans if k == 5] == [docs[5][1]] * 2
+    monkeypatch.setattr(L, "BLOCK", 2)
+    assert sorted(map(tuple, L.leak_spans(d, i).collect())) == spans  # blocks change nothing
     assert L.leaked(d.limit(0), i).count() == 0 and L.leaked(d, i.limit(0)).count() == 0
