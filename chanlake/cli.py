@@ -10,6 +10,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .config import Config
 from .operators import activity, continuity, filters, graph, proxies
 from .session import get_spark
 from .sources import messages as store
@@ -63,6 +64,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--message-limit", type=int, default=500)
     c.add_argument("--channels", help="snapshots of channels, for titles and names")
     c.add_argument("--output", help="a file that ends in .graphml, .gexf, .json or .txt")
+    c = add("history", "the latest collection runs", "runs")
+    c.add_argument("--limit", type=int, default=10)
+    c = add("channels", "channels and groups of a snapshot", "snapshots")
+    c.add_argument("--limit", type=int, default=100)
+    c = add("init", "write a settings file, from the environment where it says something", "output")
     add("proxies", "parse a proxy list, text or .json", "path")
     return p
 
@@ -98,7 +104,7 @@ def _metrics(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 
 def _discover(spark: SparkSession, a: argparse.Namespace) -> None:
-    e = graph.edges(store.latest(store.conform(spark.read.parquet(a.messages))), a.message_limit)
+    e = graph.stored(graph.edges(store.latest(store.conform(spark.read.parquet(a.messages))), a.message_limit))
     r = graph.snowball(e, a.seeds, a.depth, a.max_channels, a.min_forwards)
     nodes = graph.snowball_nodes(e, r)
     if a.channels:
@@ -120,6 +126,11 @@ def _discover(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
+    if a.command == "init":
+        c = Config.from_env()
+        c.to_file(a.output)
+        print("\n".join(c.errors()) or "complete")
+        return
     spark = spark or get_spark()
     if a.command in ("stats", "export", "filter", "gaps"):
         m = store.latest(store.conform(spark.read.parquet(a.messages)))
@@ -145,6 +156,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         print(continuity.statement(a.name or str(a.channel_id), _metrics(spark, a)))
     elif a.command == "report":
         sinks.bias_report(_metrics(spark, a), a.name or str(a.channel_id), [], a.output)
+    elif a.command == "history":
+        _show(store.run_history(spark.read.parquet(a.runs), a.limit))
+    elif a.command == "channels":
+        known = store.upserted_channels(spark.read.parquet(a.snapshots)).where("is_megagroup or is_broadcast").orderBy("id").limit(a.limit)
+        _show(known.select("id", "username", "title", "participants_count", F.when(F.col("is_broadcast"), "channel").otherwise("group").alias("type")))
     elif a.command == "discover":
         _discover(spark, a)
     elif a.command == "proxies":

@@ -43,3 +43,12 @@ def limitations(caps: DataFrame) -> DataFrame:
 
 def disclaimer(backend: str) -> str:
     return DISCLAIMERS.get(backend, UNKNOWN)
+
+
+def disclosures(caps: DataFrame) -> DataFrame:
+    """What goes with every export: backend, confidence, capabilities as JSON, known limitations and disclaimer."""
+    told = F.lit(UNKNOWN)
+    for k, v in DISCLAIMERS.items():
+        told = F.when(F.col("backend") == k, v).otherwise(told)
+    flags = F.to_json(F.struct(*_FLAGS))
+    return limitations(caps).join(caps.select("backend", flags.alias("capabilities"), told.alias("disclaimer")), "backend")

@@ -66,16 +66,29 @@ def metrics(cont: DataFrame) -> DataFrame:
     return x.withColumns({"gap_ratio": rate("gaps", "expected"), "coverage_rate": rate("observed", "expected"), "deletion_rate": rate("deleted", "expected"), "edit_rate": rate("edited", "observed")})
 
 
+#: Ids of a channel that one task sorts, as a power of two, and ids of one chunk when ranges are written out.
+BLOCK_BITS, CHUNK = 20, 100_000
+
+
 def gap_ranges(ids: DataFrame) -> DataFrame:
-    """Missing stretches between the lowest and the highest id of each channel, as ranges; nothing is exploded."""
-    w = Window.partitionBy("channel_id").orderBy("message_id")
-    x = ids.select("channel_id", "message_id").where("message_id is not null").distinct().withColumn("next", F.lead("message_id").over(w))
-    return x.where("next - message_id > 1").select("channel_id", (F.col("message_id") + 1).alias("from_id"), (F.col("next") - 1).alias("to_id"), (F.col("next") - F.col("message_id") - 1).alias("missing"))
+    """Missing stretches between the lowest and the highest id of each channel, as ranges; nothing is exploded.
+
+    Ids are sorted in blocks of 2^20, so a channel with a large part of all rows is the work of many tasks; stretches across
+    blocks come from the ends of the blocks.
+    """
+    x = ids.select("channel_id", "message_id").where("message_id is not null").distinct().withColumn("block", F.shiftright("message_id", BLOCK_BITS))
+    inside = x.withColumn("next", F.lead("message_id").over(Window.partitionBy("channel_id", "block").orderBy("message_id")))
+    ends = x.groupBy("channel_id", "block").agg(F.min("message_id").alias("low"), F.max("message_id").alias("message_id"))
+    across = ends.withColumn("next", F.lead("low").over(Window.partitionBy("channel_id").orderBy("block")))
+    both = inside.select("channel_id", "message_id", "next").unionByName(across.select("channel_id", "message_id", "next"))
+    return both.where("next - message_id > 1").select("channel_id", (F.col("message_id") + 1).alias("from_id"), (F.col("next") - 1).alias("to_id"), (F.col("next") - F.col("message_id") - 1).alias("missing"))
 
 
 def gaps(ids: DataFrame) -> DataFrame:
-    """Every missing id, made from the ranges."""
-    return gap_ranges(ids).select("channel_id", F.explode(F.sequence("from_id", "to_id")).alias("message_id"))
+    """Every missing id, made from the ranges chunk by chunk; a long range is no long array."""
+    r = gap_ranges(ids)
+    chunks = r.withColumn("a", F.explode(F.sequence("from_id", "to_id", F.lit(CHUNK).cast("long"))))
+    return chunks.select("channel_id", F.explode(F.sequence("a", F.least("to_id", F.col("a") + CHUNK - 1))).alias("message_id"))
 
 
 def statement(name: str, m: dict) -> str:

@@ -48,6 +48,11 @@ def literal(keyword: str, case_sensitive: bool = False) -> str:
     return ("" if case_sensitive else "(?iu)") + re.sub(r"([^\w\s]|_)", r"\\\1", keyword)
 
 
+def folded(text: Column) -> Column:
+    """Small letters, and those that a pattern without regard to case takes for i, k and s."""
+    return F.lower(F.translate(text, "İıſ\u212a", "iisk"))
+
+
 @dataclass(frozen=True)
 class FilterSpec:
     keywords: Sequence[str] = ()
@@ -79,12 +84,23 @@ class FilterSpec:
     def _any(self, patterns: Sequence[str]) -> Column:
         return self._text().rlike("|".join(f"(?:{p})" for p in patterns))
 
+    def _some(self, keywords: Sequence[str]) -> Column:
+        """Whether any keyword is in the text. ASCII keywords are looked for in the folded text, which is made once; others by pattern."""
+        plain = [k for k in keywords if k.isascii()]
+        odd = [k for k in keywords if not k.isascii()]
+        out = self._any([literal(k, self.case_sensitive) for k in odd]) if odd else None
+        if plain:
+            text = F.array(self._text() if self.case_sensitive else folded(self._text()))
+            hit = F.exists(text, lambda t: reduce(lambda a, b: a | b, [F.contains(t, F.lit(k if self.case_sensitive else k.lower())) for k in plain]))
+            out = hit if out is None else hit | out
+        return out
+
     def criteria(self) -> dict[str, Column]:
         """Criteria by label, in the order in which labels are reported."""
         n = len(self.keywords)
         out: dict[str, Column] = {}
         if n:
-            out["keywords"] = self._any(self.patterns()[:n])
+            out["keywords"] = self._some(self.keywords)
         if self.regexes:
             out["regex"] = self._any(self.patterns()[n:])
         if self.min_date is not None:
@@ -110,7 +126,7 @@ class FilterSpec:
         return out
 
     def excluded(self) -> Column:
-        return self._any([literal(k, self.case_sensitive) for k in self.excludes]) if self.excludes else F.lit(False)
+        return self._some(self.excludes) if self.excludes else F.lit(False)
 
     def matched(self) -> Column:
         c = list(self.criteria().values())
@@ -131,7 +147,15 @@ class FilterSpec:
     def found(self) -> Column:
         """The first match of each keyword and regex as it stands in the text."""
         p = self.patterns()
-        return F.array_compact(F.array(*[F.when(self._text().rlike(x), F.regexp_extract(self._text(), x, 0)) for x in p])) if p else F.array().cast("array<string>")
+        if not p:
+            return F.array().cast("array<string>")
+        words = [k.lower() if k.isascii() and not self.case_sensitive else None for k in self.keywords] + [None] * len(self.regexes)
+
+        def each(x: Column) -> Column:
+            test = lambda k, w: F.contains(x["f"], F.lit(w)) if w is not None else x["t"].rlike(k)
+            return F.array_compact(F.array(*[F.when(test(k, w), F.regexp_extract(x["t"], k, 0)) for k, w in zip(p, words)]))
+
+        return F.element_at(F.transform(F.array(F.struct(self._text().alias("t"), folded(self._text()).alias("f"))), each), 1)
 
     def apply(self, df: DataFrame) -> DataFrame:
         return df.where(self.matched())

@@ -6,21 +6,25 @@ import xml.etree.ElementTree as ET
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 
 def forward_source(kind, peer_id, legacy):
     """The channel or chat that a message was forwarded from; users are no source."""
     return F.coalesce(F.when(kind.isin("channel", "chat"), peer_id), legacy)
 
 
-def edges(df: DataFrame, limit: int | None = None) -> DataFrame:
+def edges(df: DataFrame, limit: int | None = None, source: Column | str = "fwd_from_channel_id") -> DataFrame:
     """(source, target, weight, first_us, last_us, first_pos): forwards into each channel, self-forwards left out.
 
     With ``limit`` only the newest messages of each channel count; ``first_pos`` is the place of the newest forward among them.
+    ``source`` is a column, or :func:`forward_source` of rows that name the kind of the peer.
     """
-    x = df.where("message_id is not null and channel_id is not null").select("channel_id", "message_id", "date", "fwd_from_channel_id")
+    src = F.col(source) if isinstance(source, str) else source
+    x = df.where("message_id is not null and channel_id is not null").select("channel_id", "message_id", "date", src.alias("fwd_from_channel_id"))
     w = Window.partitionBy("channel_id").orderBy(F.desc("message_id"))
     if limit is not None:
         x = x.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit)
@@ -53,9 +57,14 @@ class Snowball:
     errors: int = 0
 
 
+def stored(e: DataFrame) -> DataFrame:
+    """The edges written once, so that no level computes them again."""
+    return materialize(e, "edges")
+
+
 def snowball(e: DataFrame, seeds: Sequence[int], depth: int = 1, max_channels: int = 100, min_forwards: int = 3, accessible=lambda c: True) -> Snowball:
-    """Level by level from the seeds. What reaches the driver are the edges into the channels of one level: at most
-    ``max_channels`` times the message limit of the edges."""
+    """Level by level from the seeds over edges that are stored (:func:`stored`). A level is joined as a table of its own; what reaches
+    the driver are the edges into its channels: at most ``max_channels`` times the message limit."""
     out, known, visited = Snowball(), {}, set()
     level = list(dict.fromkeys(seeds))
     for _ in range(depth):
@@ -64,7 +73,8 @@ def snowball(e: DataFrame, seeds: Sequence[int], depth: int = 1, max_channels: i
             break
         into: dict[int, list[tuple[int, int]]] = {}
         if len(known) < max_channels:
-            rows = e.where(F.col("target").isin(level)).select("source", "target", "weight", "first_pos").orderBy("target", "first_pos", "source")
+            own = e.sparkSession.createDataFrame([(c,) for c in level], "target long")
+            rows = e.join(own, "target", "left_semi").select("source", "target", "weight", "first_pos").orderBy("target", "first_pos", "source")
             for r in rows.toLocalIterator():
                 into.setdefault(r["target"], []).append((r["source"], r["weight"]))
         queue = []

@@ -32,3 +32,9 @@ def distinct_files(files: DataFrame) -> DataFrame:
     """Of files with equal content the one with the first path; reads the ``binaryFile`` source."""
     x = files.withColumn("md5", F.md5("content")).drop("content")
     return x.withColumn("_rn", F.row_number().over(Window.partitionBy("md5").orderBy("path"))).where("_rn = 1").drop("_rn")
+
+
+def stats(tasks: DataFrame) -> DataFrame:
+    """(downloaded, failed, pending) of download tasks with a ``status``. A file that is there already, has a twin or isn't supported is done and counts as downloaded."""
+    done = F.col("status").isin("downloaded", "exists", "duplicate", "unsupported")
+    return tasks.agg(F.count_if(done).alias("downloaded"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status").isNull() | (F.col("status") == "pending")).alias("pending"))

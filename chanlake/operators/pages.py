@@ -5,7 +5,7 @@ The class names below are fixed values of the pages' markup. Broken markup gives
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Markup of the pages.
@@ -70,3 +70,21 @@ def header(pages: DataFrame, username: Column, html: str = "html") -> DataFrame:
     kind = F.lower(one(h, COUNTER, 2))
     x = pages.select(F.regexp_replace(username, "^@+", "").alias("username"), F.trim(one(h, TITLE)).alias("title"), F.trim(one(h, ABOUT)).alias("about"), F.when(F.contains(kind, F.lit("subscriber")) | F.contains(kind, F.lit("member")), counter(one(h, COUNTER, 1))).alias("participants_count"))
     return x.where("title is not null or about is not null or participants_count is not null")
+
+
+#: Rows in order that one task numbers.
+NUMBERED = 1_000_000
+
+
+def fallback_ids(df: DataFrame, channel: str, order: str, message_id: str = "message_id") -> DataFrame:
+    """Rows without a message id (or with 0) get their running number in the channel; ``order`` is a distinct number.
+
+    Numbers are counted in blocks of the order, so a channel with a large part of all rows isn't one task.
+    """
+    x = df.withColumn("_block", F.floor(F.col(order) / NUMBERED))
+    size = x.groupBy(channel, "_block").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(channel).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    size = size.withColumn("_before", before).withColumnsRenamed({channel: "_channel", "_block": "_at"})
+    x = x.withColumn("_rn", F.row_number().over(Window.partitionBy(channel, "_block").orderBy(order)))
+    x = x.join(size, x[channel].eqNullSafe(size["_channel"]) & (x["_block"] == size["_at"]))
+    return x.withColumn(message_id, F.coalesce(F.nullif(F.col(message_id), F.lit(0)), F.col("_before") + F.col("_rn"))).select(*df.columns)

@@ -56,11 +56,53 @@ def is_dead(ok: Column, bad: Column) -> Column:
     return (bad >= 3) & (success_rate(ok, bad) < 0.2)
 
 
-def ranked(df: DataFrame) -> DataFrame:
-    """The proxies among which one is drawn: the best quarter, ten at least."""
+def available(df: DataFrame) -> DataFrame:
+    return df.where(~is_dead(F.col("successes"), F.col("failures")))
+
+
+def _scored(df: DataFrame) -> DataFrame:
     score = 100 * success_rate(F.col("successes"), F.col("failures")) - F.coalesce("latency_ms", F.lit(0.0)) / 100 + F.coalesce("score", F.lit(0.0)) / 10
-    n = df.count()
-    return df.withColumn("rank_score", score).orderBy(F.desc("rank_score"), "host", "port").limit(max(10, n // 4))
+    return df.withColumn("rank_score", score)
+
+
+def ranked(df: DataFrame) -> DataFrame:
+    """The proxies among which one is drawn: the best quarter of the available ones, ten at least."""
+    up = available(df)
+    n = up.count()
+    return _scored(up).orderBy(F.desc("rank_score"), "host", "port").limit(max(10, n // 4))
+
+
+def chosen(df: DataFrame, strategy: str = "weighted", turn: int = 0, seed: int = 0):
+    """One available proxy, or None: drawn from the best (``weighted``) or from all (``random``), or the next in turn (``round_robin``; the turn advances before use)."""
+    if strategy == "round_robin":
+        up = available(df)
+        n = up.count()
+        return up.orderBy("host", "port").offset((turn + 1) % n).first() if n else None
+    pool = available(df) if strategy == "random" else ranked(df)
+    return pool.orderBy(F.xxhash64(F.lit(seed), "host", "port"), "host", "port").first()
+
+
+def added(df: DataFrame, host: str, port: int, kind: str = "socks5", username: str | None = None, password: str | None = None) -> DataFrame:
+    """The pool with one more proxy, unless it has one with that host and port."""
+    row = df.sparkSession.createDataFrame([(kind, username, password, host, port)], "type string, username string, password string, host string, port int")
+    new = row.join(df.select("host", "port"), ["host", "port"], "left_anti")
+    return df.unionByName(new, allowMissingColumns=True)
+
+
+def tested(results: DataFrame) -> DataFrame:
+    """(total, working, dead, success_rate) of a run of tests with a column ``ok``."""
+    n, ok = F.count("*"), F.count_if("ok")
+    return results.agg(n.alias("total"), ok.alias("working"), (n - ok).alias("dead"), F.when(n == 0, F.lit(0.0)).otherwise(ok / n).alias("success_rate"))
+
+
+def addresses(df: DataFrame) -> DataFrame:
+    """host:port of the available proxies, the list of those that work."""
+    return available(df).select(F.concat("host", F.lit(":"), F.col("port").cast("string")).alias("value"))
+
+
+def by(df: DataFrame, column: str) -> DataFrame:
+    """Available proxies by type or country; unknown ones aren't counted."""
+    return available(df).where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(column).agg(F.count("*").alias("proxies"))
 
 
 def preferred(df: DataFrame, types=None, country=None) -> DataFrame:

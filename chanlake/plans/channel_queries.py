@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.disclosure import capabilities, limitations
+from ..functions.disclosure import _WEB, LIMITATIONS, capabilities, limitations
 from ..operators import activity, continuity, filters, graph, media, pages
 from ..operators.filters import CRYPTO, CTI, NEWS, FilterSpec
 from ..sources import messages as store
@@ -88,17 +88,8 @@ def channel_lookup(spark, sf_dir):
     return _m(spark, sf_dir).where("channel_name is not null").groupBy("channel_name").agg(F.min_by("channel_id", "delivery_id").alias("channel_id"))
 
 
-_MANIFEST = "struct<run_id:string,channels:array<string>,scrape_mode:string,runtime_stats:struct<messages_collected:bigint,errors_encountered:bigint,flood_waits:bigint>,_corrupt_record:string>"
-
-
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "runs").withColumn("j", F.from_json("manifest_json", _MANIFEST))
-    j = F.when(F.col("j._corrupt_record").isNull(), F.col("j"))
-    s = j["runtime_stats"]
-    return x.select(
-        "run_id", F.unix_micros("created_at").alias("created_us"), j["scrape_mode"].alias("scrape_mode"), F.when(j["channels"].isNotNull(), F.size(j["channels"])).cast("long").alias("n_channels"),
-        s["messages_collected"].alias("collected"), s["errors_encountered"].alias("errors"), s["flood_waits"].alias("flood_waits"),
-    )
+    return store.run_records(table(spark, sf_dir, "runs"))
 
 
 _RUNS = """SELECT run_id, epoch_us(created_at) AS created_us, j->>'$.scrape_mode' AS scrape_mode, CAST(json_array_length(j, '$.channels') AS BIGINT) AS n_channels,
@@ -108,7 +99,7 @@ _RUNS = """SELECT run_id, epoch_us(created_at) AS created_us, j->>'$.scrape_mode
 
 @query(f"{_RUNS} ORDER BY created_us DESC, run_id LIMIT 10")
 def run_history(spark, sf_dir):
-    return _runs(spark, sf_dir).orderBy(F.desc("created_us"), "run_id").limit(10)
+    return store.run_history(table(spark, sf_dir, "runs"))
 
 
 @query(f"SELECT scrape_mode, count(*) AS runs, CAST(sum(collected) AS BIGINT) AS collected, CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(flood_waits) AS BIGINT) AS flood_waits FROM ({_RUNS}) q GROUP BY scrape_mode")
@@ -262,9 +253,11 @@ def text_checksum(spark, sf_dir):
     return _m(spark, sf_dir).select("delivery_id", continuity.checksum(F.col("text")).alias("checksum"), F.char_length("text").cast("long").alias("length"))
 
 
-@query("SELECT delivery_id, md5(concat(coalesce(text, ''), '|', strftime(date AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'), '+00:00', '|', coalesce(CAST(message_id AS VARCHAR), 'None'))) AS hash FROM messages WHERE epoch_us(date) % 1000000 = 0")
+_MOMENT = "CASE WHEN date IS NULL THEN 'None' WHEN epoch_us(date) % 1000000 = 0 THEN concat(strftime(date AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S'), '+00:00') ELSE concat(strftime(date AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f'), '+00:00') END"
+
+
+@query(f"SELECT delivery_id, md5(concat(coalesce(text, ''), '|', {_MOMENT}, '|', coalesce(CAST(message_id AS VARCHAR), 'None'))) AS hash FROM messages")
 def message_hash(spark, sf_dir):
-    """Every row; the SQL has those with whole seconds only."""
     return _m(spark, sf_dir).select("delivery_id", pages.message_hash(F.col("text"), F.col("date"), F.col("message_id")).alias("hash"))
 
 
@@ -322,7 +315,10 @@ def media_filename(spark, sf_dir):
     return _media(spark, sf_dir).select("delivery_id", media.filename(F.col("date"), F.col("message_id"), F.col("kind"), F.col("ext")).alias("filename"))
 
 
-@query()
+_LIMITS = {k: "; ".join(m for f, m in LIMITATIONS if k == "web" and f not in _WEB) for k in ("mtproto", "web")}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c}', '{_LIMITS[k]}')" for k, c in (("mtproto", "high"), ("web", "low"))) + ") v(backend, bias_confidence, limitations)")
 def backend_limitations(spark, sf_dir):
     return limitations(capabilities(spark)).select("backend", "bias_confidence", F.array_join("limitations", "; ").alias("limitations"))
 
@@ -466,7 +462,7 @@ def resolve_channels(spark, sf_dir):
 
 def _snowball(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
     """From the two channels that most forwards lead into; the cap isn't reached."""
-    e = _edges(spark, sf_dir, 500)
+    e = graph.stored(_edges(spark, sf_dir, 500))
     seeds = [r[0] for r in e.groupBy("target").agg(F.sum("weight").alias("w")).orderBy(F.desc("w"), "target").limit(2).collect()]
     return graph.snowball_nodes(e, graph.snowball(e, seeds, depth, 1_000_000, 3))
 

@@ -1,7 +1,7 @@
 """Reading, normalising and reconciling collected messages.
 
 Of several copies of a message the latest counts, among equals the one delivered first; rows without an
-identifier are all kept. Foreign files are read one by one and cast to the schema, because files written without a
+identifier are all kept. Foreign files are read by groups of equal schema and cast, because files written without a
 schema may disagree about types.
 """
 
@@ -34,10 +34,13 @@ def conform(df: DataFrame) -> DataFrame:
 
 
 def load_foreign(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Files of any writer, each with its own inferred types, as one frame of the schema."""
-    out = spark.createDataFrame([], SCHEMA)
+    """Files of any writer as one frame of the schema: one scan for the files of each inferred schema."""
+    by: dict[str, list[str]] = {}
     for p in paths:
-        out = out.unionByName(conform(spark.read.parquet(p)))
+        by.setdefault(spark.read.parquet(p).schema.json(), []).append(p)
+    out = spark.createDataFrame([], SCHEMA)
+    for same in by.values():
+        out = out.unionByName(conform(spark.read.parquet(*same)))
     return out
 
 
@@ -94,3 +97,61 @@ def checkpoints(df: DataFrame) -> DataFrame:
 
 def normalize_channel(name: Column) -> Column:
     return F.regexp_replace(name, "^@+", "")
+
+
+class Checkpoints:
+    """Where each channel's collection stands: an append-only table, the state is the fold over it.
+
+    A row may leave out what it doesn't know; nulls change nothing. Ends are widened, never narrowed, so a batch that is
+    sent again changes nothing either.
+    """
+
+    SCHEMA = "channel_id long, channel_name string, min_id long, max_id long, completed boolean, updated_at timestamp"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def update(self, rows: DataFrame) -> None:
+        have = [f.split()[0] for f in self.SCHEMA.split(", ")]
+        kinds = dict(f.split() for f in self.SCHEMA.split(", "))
+        rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in have]).write.mode("append").parquet(self.path)
+
+    def state(self) -> DataFrame:
+        x = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("updated_at", c))).alias(c)
+        return x.where("channel_id is not null").groupBy("channel_id").agg(last("channel_name"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"), last("completed"), F.max("updated_at").alias("updated_at"))
+
+    def read(self, channel_id: int):
+        """The state of one channel, or None."""
+        return self.state().where(F.col("channel_id") == channel_id).first()
+
+
+def channel_rows(info: DataFrame) -> DataFrame:
+    """Rows of the channel dimension from what a collector returns: full metadata, or the reduced record with an id and a name only."""
+    kinds = {"id": "long", "username": "string", "title": "string", "about": "string", "participants_count": "long", "is_megagroup": "boolean", "is_broadcast": "boolean", "created_at": "timestamp", "scraped_at": "timestamp"}
+    known = lambda c, t: (F.col(c).try_cast(t) if c in info.columns else F.lit(None).cast(t))
+    out = info.select(*[known(c, t).alias(c) for c, t in kinds.items()]).where("id is not null")
+    return out.withColumns({"username": normalize_channel(F.col("username")), "is_megagroup": F.coalesce("is_megagroup", F.lit(False)), "is_broadcast": F.coalesce("is_broadcast", F.lit(False))})
+
+
+def items(df: DataFrame) -> DataFrame:
+    """Messages in the form that all collectors share: no reactions, no replies, and the forward by name only where it has one."""
+    cols = df.columns
+    name = F.col("forward_from") if "forward_from" in cols else F.lit(None).cast("string")
+    return df.select(F.col("channel_name").alias("channel"), "message_id", F.col("date").alias("timestamp"), F.coalesce("text", F.lit("")).alias("text"), "views", "sender_id", F.coalesce("has_media", F.lit(False)).alias("has_media"), name.alias("forward_from"), "backend", "scraped_at")
+
+
+MANIFEST = "struct<run_id:string,channels:array<string>,scrape_mode:string,runtime_stats:struct<messages_collected:bigint,errors_encountered:bigint,flood_waits:bigint>,_corrupt_record:string>"
+
+
+def run_records(runs: DataFrame) -> DataFrame:
+    """Runs with what their manifests say; of a manifest that is missing or cut off all is null."""
+    x = runs.withColumn("j", F.from_json("manifest_json", MANIFEST))
+    j = F.when(F.col("j._corrupt_record").isNull(), F.col("j"))
+    s = j["runtime_stats"]
+    n = F.when(j["channels"].isNotNull(), F.size(j["channels"])).cast("long")
+    return x.select("run_id", F.unix_micros("created_at").alias("created_us"), j["scrape_mode"].alias("scrape_mode"), n.alias("n_channels"), s["messages_collected"].alias("collected"), s["errors_encountered"].alias("errors"), s["flood_waits"].alias("flood_waits"))
+
+
+def run_history(runs: DataFrame, n: int = 10) -> DataFrame:
+    return run_records(runs).orderBy(F.desc("created_us"), "run_id").limit(n)
