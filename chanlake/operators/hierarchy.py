@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrowkit import emit, ints, whole
+from ..functions.volume import partitions
 from ..plans.scratch import materialize
 
 #: Rows of a quotient that one task may solve; a larger one is contracted further. About 150 MB.
 SINGLE = 2_000_000
-#: Ids of one block: 2 to this power.
-BLOCK = 14
+#: Ids of one block and of the widest one on later levels: 2 to this power. Estimated bytes of the rows one task contracts.
+BLOCK, WIDEST, TASK_BYTES = 14, 20, 64 << 20
 #: A quotient larger than this share of its forest is solved by doubling.
 SHRINK = 0.6
 
@@ -132,7 +133,8 @@ def _solve(df: DataFrame, rows: int, level: int) -> DataFrame:
 
 
 def _blocked(df: DataFrame, level: int) -> DataFrame:
-    return df.repartition("s", F.shiftright("id", BLOCK + 3 * level))
+    """Blocks of neighbouring ids in as many partitions as the rows need; blocks widen by level up to a bound."""
+    return df.repartition(partitions(df, TASK_BYTES), "s", F.shiftright("id", min(BLOCK + 3 * level, WIDEST)))
 
 
 def _quotient(frag: DataFrame) -> tuple[DataFrame, int]:
@@ -223,7 +225,7 @@ def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _opened(df: DataFrame, scope: str, row_id: str, parent: str) -> tuple[DataFrame, DataFrame]:
     """(s, id, walk, ring) of the forest without the link of each circle's smallest id, and the links taken out as (cs, root, last).
 
-    Fragments' walks are put together level by level: one join for each fragment on the longest path.
+    Fragments' walks are put together by doubling: as many joins as the number of fragments on the longest path has binary digits.
     """
     ends = hierarchy(df, scope, row_id, parent).select(F.col(scope).alias("hs"), F.col(row_id).alias("hid"), "root_id", (F.col("depth") < 0).alias("never"))
     j = _forest(df, scope, row_id, parent).join(ends, _same_scope("s", "hs") & (F.col("id") == F.col("hid")))
