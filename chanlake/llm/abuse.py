@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..plans.scratch import read_bytes, shared_dir, write_bytes
 from . import languages, lookalikes, ordinary
 
-WINDOW, HIDDEN, SLOTS = 16, 24, 1 << 12
+WINDOW, HIDDEN, SLOTS = 16, 16, 1 << 12
 #: Texts of the corpus that stand for ordinary language in training, at most, and windows of random ordinary words.
 SAMPLE, RANDOM = 6_000, 4_000
 #: Windows scored at a time, so that their states stay in the processor's cache.
-BATCH = 512
+BATCH = 1024
 #: Texts with a higher score count as abusive.
 THRESHOLD = 0.9
 
@@ -218,9 +218,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
-_HALF = np.repeat(np.array([0.5, 0.5, 1], np.float32), HIDDEN)
-
-
 class Network:
     """Parameters ``p``: word vectors E, n-gram vectors C, and for each direction W (input), U (state), b; attention A, v; output o, c."""
 
@@ -235,6 +232,7 @@ class Network:
         self._reset()
 
     def _reset(self) -> None:
+        self.space: list[np.ndarray] | None = None
         self.memo: dict[str, int] = {"": 0}
         self.rows: list[np.ndarray] = [np.zeros(6 * HIDDEN, np.float32)]
 
@@ -387,45 +385,55 @@ class Network:
             inside[end - k] = False  # no window starts in the last words
         starts = np.flatnonzero(inside)
         windows = np.lib.stride_tricks.sliding_window_view(flat, WINDOW)
-        rows = np.array(self.rows)
-        table = np.stack([rows[:, : 3 * HIDDEN] * _HALF, rows[:, 3 * HIDDEN :] * _HALF])
+        rows, h = np.array(self.rows), HIDDEN
+        tables = [np.ascontiguousarray(rows[:, 3 * h * d + x : 3 * h * d + y] * f) for d in (0, 1) for x, y, f in ((0, 2 * h, np.float32(0.5)), (2 * h, 3 * h, np.float32(1)))]
         prob = np.empty(len(starts))
         for a in range(0, len(starts), BATCH):
-            part = windows[starts[a : a + BATCH]]
-            prob[a : a + BATCH] = self._infer(table, part, (part > 0).astype(np.float32))
+            prob[a : a + BATCH] = self._infer(tables, np.ascontiguousarray(windows[starts[a : a + BATCH]].T))
         best = np.maximum.reduceat(prob, np.r_[0, np.cumsum(size - WINDOW + 1)[:-1]])
         return np.where(np.array(place) >= 0, best[place], 0.0)
 
-    def _infer(self, table: np.ndarray, ids: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """States are kept with a column for each window; ``table`` and U are halved for z and r, as sigmoid(x) is (tanh(x / 2) + 1) / 2."""
+    def _infer(self, tables: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+        """Scores of windows, a column of word numbers each. ``tables`` are the input gates by word: z and r of the forward direction, its n, and
+        the same backward; they and U are halved for z and r, as sigmoid(x) is (tanh(x / 2) + 1) / 2. All steps write into the same few arrays."""
         p, h = self.p, HIDDEN
-        b = len(ids)
-        hs = np.empty((WINDOW, 2 * h, b), np.float32)
-        full, at = m.all(axis=0), np.ascontiguousarray(ids.T)
-        for s, off in (("f", 0), ("b", 3 * h)):
-            prev, U = np.zeros((h, b), np.float32), np.ascontiguousarray((p[f"U{s}"] * _HALF).T)
+        b = ids.shape[1]
+        if self.space is None or len(self.space[1]) != b:  # kept between calls: fresh memory costs more than the sums
+            self.space = [np.empty((WINDOW, b, 2 * h), np.float32), *(np.empty((b, k * h), np.float32) for k in (2, 1, 2, 1, 1, 1)), np.empty((WINDOW * b, h), np.float32)]
+        hs, xz, xn, zr, n, new, prev, u = self.space
+        real = ids > 0
+        full = real.all(axis=1)
+        for s, d in (("f", 0), ("b", 1)):
+            tz, tn = tables[2 * d], tables[2 * d + 1]
+            uz, un = np.ascontiguousarray(p[f"U{s}"][:, : 2 * h] * np.float32(0.5)), np.ascontiguousarray(p[f"U{s}"][:, 2 * h :] * np.float32(0.5))
+            prev[:] = 0
             for k in range(WINDOW) if s == "f" else range(WINDOW - 1, -1, -1):
-                gx, gh = table[off // (3 * h)][at[k]].T, U @ prev
-                zr, n = gh[: 2 * h], gh[2 * h :]
-                zr += gx[: 2 * h]
+                np.take(tz, ids[k], axis=0, out=xz, mode="clip")
+                np.take(tn, ids[k], axis=0, out=xn, mode="clip")
+                np.matmul(prev, uz, out=zr)
+                np.matmul(prev, un, out=n)
+                zr += xz
                 np.tanh(zr, out=zr)
-                zr += 1
-                zr *= 0.5
-                n *= zr[h:]
-                n += gx[2 * h :]
+                zr += 1  # twice z and r: one half is in U, the other comes below
+                n *= zr[:, h:]
+                n += xn
                 np.tanh(n, out=n)
-                new = hs[k, off // 3 : off // 3 + h]
                 np.subtract(prev, n, out=new)
-                new *= zr[:h]
+                new *= np.float32(0.5)
+                new *= zr[:, :h]
                 new += n
-                if not full[k]:
-                    mk = m[:, k]
-                    new[:] = mk * new + (1 - mk) * prev
-                prev = new
-        e = p["v"] @ np.tanh(p["A"].T @ hs) - 1e9 * (1 - m.T)
+                if full[k]:
+                    prev, new = new, prev
+                else:
+                    np.copyto(prev, new, where=real[k][:, None])
+                hs[k, :, d * h : d * h + h] = prev
+        flat = hs.reshape(-1, 2 * h)
+        np.matmul(flat, p["A"], out=u)
+        np.tanh(u, out=u)
+        e = (u @ p["v"]).reshape(WINDOW, b) - 1e9 * (1 - real.astype(np.float32))
         a = np.exp(e - e.max(axis=0))
         a /= a.sum(axis=0)
-        return _sigmoid((a * (p["o"] @ hs)).sum(axis=0) + p["c"][0])
+        return _sigmoid((a * (flat @ p["o"]).reshape(WINDOW, b)).sum(axis=0) + p["c"][0])
 
     def state(self) -> tuple[dict[str, int], dict[str, np.ndarray]]:
         return self.vocabulary, self.p
