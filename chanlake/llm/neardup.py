@@ -354,12 +354,12 @@ def _join(freq, width: int, t: Fraction):
 class NearDuplicates:
     """The prefix-tree join over one table; ``links`` and ``classes`` are its results."""
 
-    def __init__(self, sets: DataFrame, texts: DataFrame, row_id: str, text: str, width: int = 5, threshold: float = 0.8):
-        """``sets``: the rows of :func:`digests` that count. ``texts`` has the text of each of their ids."""
+    def __init__(self, sets: DataFrame, texts: DataFrame, row_id: str, text: str, width: int = 5, threshold: float = 0.8, min_tokens: int = 0):
+        """``sets``: the rows of :func:`digests` that count, made with ``min_tokens``. ``texts`` has the text of each of their ids."""
         self.width, self.t = width, Fraction(threshold).limit_denominator(1000)
         self.sets = materialize(sets.where("s1 is not null").select("id", "s1", "s2"), "sets")
         self.classes_of_equals = materialize(self.sets.groupBy("s1", "s2").agg(F.min("id").alias("rid"), F.count("*").alias("copies")), "equal")
-        t = texts.select(texts[row_id].cast("long").alias("id"), texts[text].cast("string").alias("text")).where(F.char_length("text") >= 2 * width - 1)
+        t = texts.select(texts[row_id].cast("long").alias("id"), texts[text].cast("string").alias("text")).where(F.char_length("text") >= 2 * max(width, min_tokens) - 1)
         self.reps = materialize(t.join(self.classes_of_equals.select(F.col("rid").alias("id")), "id", "left_semi"), "representatives")
         self._links: DataFrame | None = None
 

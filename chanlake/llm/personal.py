@@ -317,13 +317,13 @@ _DOES = (
     "lives lived works worked said says wrote writes signed phoned told thinks was born studied married died wohnt wohnte arbeitet arbeitete sagt sagte schrieb schreibt meint wurde geboren studierte heiratete starb habite habitait travaille a dit dit a écrit écrit est né est née "
     "vive vivía trabaja dijo dice escribió nació estudió mora vivia trabalha disse diz escreveu nasceu abita abitava lavora ha detto dice ha scritto è nato è nata живёт живет жил жила работает сказал сказала пишет написал написала родился родилась мешкає живе працює сказав сказала пише написав написала народився народилась"
 )
-_DOES_ONE = frozenset(w for w in _DOES.split() if len(w) > 2)
-_DOING = "|".join(sorted({*_DOES_ONE, "was born", "wurde geboren", "a dit", "a écrit", "est née?", "ha detto", "ha scritto", "è nat[oa]"} - {"was", "wurde", "est"}, key=len, reverse=True))
-_DOER = re.compile(rf"(?<![\w@#.])({_CAP}(?: (?:(?:van|von|de|da|di|del|bin|al|el) )?{_CAP}){{1,2}}),? (?:{_DOING})(?!\w)")
+_DOES_TWO = frozenset({("was", "born"), ("wurde", "geboren"), ("a", "dit"), ("a", "écrit"), ("est", "né"), ("est", "née"), ("ha", "detto"), ("ha", "scritto"), ("è", "nato"), ("è", "nata")})
+_DOES_ONE = frozenset(_DOES.split()) - {w for x in _DOES_TWO for w in x}
 #: What is said before people: the same after one of these.
-_TOLD = "contact|dear|tell|call|phone|email|met|meet|thank|thanks to|patient|professor|teacher|nurse|lawyer|engineer|kontaktieren Sie|liebe|lieber|Patient|Patientin|Lehrer|Lehrerin|contactez|cher|chère|patiente|contacte a|querido|querida|paciente|caro|cara|contatti|gentile|paziente|дорогой|дорогая|пациент|пациентка|свяжитесь с|шановний|шановна|пацієнт|пацієнтка"
-_CALLED = re.compile(rf"(?<!\w)(?i:{_TOLD}) ({_CAP}(?: (?:(?:van|von|de|da|di|del|bin|al|el) )?{_CAP}){{1,2}})(?!\w)")
-_CALLED_HINT = tuple(max(w.split(), key=len).lower() for w in _TOLD.split("|"))
+_TOLD = frozenset("contact dear tell call phone email met meet thank patient professor teacher nurse lawyer engineer liebe lieber patientin lehrer lehrerin contactez cher chère patiente querido querida paciente caro cara contatti gentile paziente дорогой дорогая пациент пациентка шановний шановна пацієнт пацієнтка".split())
+_ABOUT = _DOES_ONE | _TOLD | {x[0] for x in _DOES_TWO}
+_TWO = re.compile(rf"(?<![\w@#.])({_CAP}(?: (?:(?:van|von|de|da|di|del|bin|al|el) )?{_CAP}){{1,2}})(?!\w)")
+_FOLLOWS = re.compile(r",? ([^\W\d_]+)(?: ([^\W\d_]+))?")
 #: Words with capitals that name no person.
 _NO_NAME = _STREETS | _NOT_BEFORE | frozenset(
     "the a an this that these those my your our his her its their group team mapping office university company department ministry committee council army city town village county north south east west new old great world national international royal central general "
@@ -359,14 +359,22 @@ def _persons(s: str, words: Words, taken: list[tuple[int, int]]) -> Iterator[tup
                 at = m.end()
             elif fb and not fa and a[0].isupper() and s[m.end(1)] == "," and b[0].isupper():
                 yield m.span()
-    if words.some(_DOES_ONE):
-        for m in _DOER.finditer(s):
-            if _free(m.span(1), taken) and _named(m[1]) and _before(s, m.start(1)) not in _NOT_BEFORE | _PLACED:
-                yield m.span(1)
-    if words.holds(_CALLED_HINT):
-        for m in _CALLED.finditer(s):
-            if _free(m.span(1), taken) and _named(m[1]) and _after(s, m.end(1)) not in _STREETS:
-                yield m.span(1)
+    if words.some(_ABOUT):
+        for m in _TWO.finditer(s):
+            at, (x, y) = m.start(), m.span()
+            first = m[1].split(" ", 1)[0]
+            told = first.lower() in _TOLD
+            if told:  # the word before the name has a capital itself
+                x += len(first) + 1
+            elif _before(s, at) in _TOLD:
+                told = True
+            name = s[x:y]
+            if not told:
+                f = _FOLLOWS.match(s, y)
+                if not f or f[1] not in _DOES_ONE and (f[1], f[2]) not in _DOES_TWO or _before(s, at) in _PLACED:
+                    continue
+            if " " in name and _free((x, y), taken) and _named(name) and _before(s, x) not in _NOT_BEFORE and _STREETS.isdisjoint(_next(s, y)):
+                yield x, y
     for m in _ASK.finditer(s) if words.holds(_ASK_HINT) else ():
         if _free(m.span(1), taken) and m[1].split()[0].lower() not in _NOT_BEFORE and m[1].split()[-1].lower() not in _STREETS:
             yield m.span(1)

@@ -25,7 +25,7 @@ def _posts(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
     m = _messages(spark, sf_dir, *keys)
     s = neardup.digests(m, "delivery_id", "text", 2, 40, keys)
     kept = deliveries.keep_one(s, ["id", "s1", "s2"], row_id="id")
-    return neardup.NearDuplicates(kept, m, "delivery_id", "text", width=2, threshold=0.7)
+    return neardup.NearDuplicates(kept, m, "delivery_id", "text", width=2, threshold=0.7, min_tokens=40)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
