@@ -66,10 +66,9 @@ def _scored(df: DataFrame) -> DataFrame:
 
 
 def ranked(df: DataFrame) -> DataFrame:
-    """The proxies among which one is drawn: the best quarter of the available ones, ten at least."""
-    up = available(df)
-    n = up.count()
-    return _scored(up).orderBy(F.desc("rank_score"), "host", "port").limit(max(10, n // 4))
+    """The best quarter of the proxies, ten at least; one is drawn among those of the available ones (:func:`chosen`)."""
+    n = df.count()
+    return _scored(df).orderBy(F.desc("rank_score"), "host", "port").limit(max(10, n // 4))
 
 
 def chosen(df: DataFrame, strategy: str = "weighted", turn: int = 0, seed: int = 0):
@@ -78,7 +77,7 @@ def chosen(df: DataFrame, strategy: str = "weighted", turn: int = 0, seed: int =
         up = available(df)
         n = up.count()
         return up.orderBy("host", "port").offset((turn + 1) % n).first() if n else None
-    pool = available(df) if strategy == "random" else ranked(df)
+    pool = available(df) if strategy == "random" else ranked(available(df))
     return pool.orderBy(F.xxhash64(F.lit(seed), "host", "port"), "host", "port").first()
 
 

@@ -406,7 +406,7 @@ def gap_ranges(spark, sf_dir):
 
 @query(f"SELECT channel_id, unnest(range(message_id + 1, nxt)) AS message_id FROM ({_IDS}) q WHERE nxt - message_id > 1")
 def detect_gaps(spark, sf_dir):
-    return continuity.gaps(_m(spark, sf_dir))
+    return continuity.gaps(_m(spark, sf_dir)).orderBy("channel_id", "message_id")
 
 
 # -- forwards -----------------------------------------------------------------------------------------

@@ -179,7 +179,7 @@ def _one(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT host, port FROM (SELECT host, port, row_number() OVER (ORDER BY {_SCORE} DESC, host, port) AS place, count(*) OVER () AS n FROM {_ONE} o WHERE NOT {_DEAD}) q WHERE place <= greatest(10, n // 4)")
 def proxy_ranked(spark, sf_dir):
-    return proxies.ranked(_one(spark, sf_dir)).select("host", "port")
+    return proxies.ranked(proxies.available(_one(spark, sf_dir))).select("host", "port")
 
 
 @query(f"SELECT host, port FROM (SELECT host, port, row_number() OVER (ORDER BY host, port) - 1 AS place, count(*) OVER () AS n FROM {_ONE} o WHERE NOT {_DEAD}) q WHERE place = 8 % n")

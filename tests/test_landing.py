@@ -135,7 +135,7 @@ def test_partitions_follow_the_volume(spark, tmp_path):
 
 
 def test_small_files_in_the_shared_folder(spark):
-    path = f"{scratch.shared_dir(spark)}/chanlake-test/one"
+    path = scratch.scratch_path(spark, "small")
     assert scratch.read_bytes(spark, path) is None
     scratch.write_bytes(spark, path, b"\x00\xff body")
     assert scratch.read_bytes(spark, path) == b"\x00\xff body"
