@@ -6,7 +6,7 @@ collection is all copies in the order of their finish times, cut off at the tota
 sources have received tokens in proportion to their shares, but for one document each.
 
 The running sums are made without any task seeing a whole source: queues are cut into buckets by the shuffle key, small
-sums per bucket are accumulated first, and the sum inside a bucket is added to its bucket's offset.
+sums per bucket are accumulated first, in two levels, and the sum inside a bucket is added to its bucket's offset.
 
 Defined results: rows with a null id, text or source and texts without tokens are no documents; of several rows with
 one id one counts. A target without documents gets nothing and is reported with share 0, as is a target share of 0 or null; a null or
@@ -31,6 +31,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Documents of one bucket of a queue, about.
 BUCKET = 20_000
+#: Buckets whose sums are accumulated together: 2 to this power.
+PART_BITS = 10
 
 _encoders: dict[int, object] = {}
 
@@ -88,9 +90,13 @@ class Mixture:
             copies = self.sizes.join(g, "source").select("id", "source", "n", "share", "buckets", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
             key = F.xxhash64(F.lit(self.seed), "id", "copy")
             copies = copies.withColumn("key", key).withColumn("bucket", F.pmod("key", "buckets").cast("int"))
-            sums = copies.groupBy("source", "copy", "bucket").agg(F.sum("n").alias("s"))
-            before = Window.partitionBy("source").orderBy("copy", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-            sums = sums.select("source", "copy", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
+            sums = materialize(copies.groupBy("source", "copy", "bucket").agg(F.sum("n").alias("s")).withColumn("part", F.shiftright("bucket", PART_BITS)), "sums")
+            tops = sums.groupBy("source", "copy", "part").agg(F.sum("s").alias("t"))
+            above = Window.partitionBy("source").orderBy("copy", "part").rowsBetween(Window.unboundedPreceding, -1)
+            tops = tops.select("source", "copy", "part", F.coalesce(F.sum("t").over(above), F.lit(0)).alias("base"))
+            before = Window.partitionBy("source", "copy", "part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+            sums = sums.withColumn("within", F.coalesce(F.sum("s").over(before), F.lit(0))).join(tops, ["source", "copy", "part"])
+            sums = sums.select("source", "copy", "bucket", (F.col("base") + F.col("within")).alias("offset"))
             inside = Window.partitionBy("source", "copy", "bucket").orderBy("key", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
             queued = copies.join(sums, ["source", "copy", "bucket"]).withColumn("finish", (F.col("offset") + F.sum("n").over(inside)) / F.col("share"))
             cut = float(self.budget) * (1 + 1e-12)

@@ -211,6 +211,7 @@ def docs(spark, rows):
 
 def test_mixture(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 7)
+    monkeypatch.setattr(mixing, "PART_BITS", 1)
     rows = [(k, "word " * (5 + k % 9), "abc"[k % 3]) for k in range(300)] + [(900, "one two three " * 30, "d"), (901, None, "a"), (902, "x", None), (903, "", "a"), (5, "word", "a")]
     t = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 2), ("d", 0.2, 3), ("e", 0.0, 1), ("f", 0.0, None)], "source string, target_share double, max_repeats int")
     m = mixing.Mixture(docs(spark, rows), t)
