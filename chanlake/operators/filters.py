@@ -50,7 +50,13 @@ def literal(keyword: str, case_sensitive: bool = False) -> str:
 
 def folded(text: Column) -> Column:
     """Small letters, and those that a pattern without regard to case takes for i, k and s."""
-    return F.lower(F.translate(text, "İıſ\u212a", "iisk"))
+    rare = "İıſ\u212a"
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in rare])
+    return F.lower(F.when(odd, F.translate(text, rare, "iisk")).otherwise(text))
+
+
+#: Up to as many keywords one pattern is faster than looking for each in the folded text.
+FEW = 6
 
 
 @dataclass(frozen=True)
@@ -86,8 +92,8 @@ class FilterSpec:
 
     def _some(self, keywords: Sequence[str]) -> Column:
         """Whether any keyword is in the text. ASCII keywords are looked for in the folded text, which is made once; others by pattern."""
-        plain = [k for k in keywords if k.isascii()]
-        odd = [k for k in keywords if not k.isascii()]
+        plain = [k for k in keywords if k.isascii()] if len(keywords) > FEW else []
+        odd = [k for k in keywords if not plain or not k.isascii()]
         out = self._any([literal(k, self.case_sensitive) for k in odd]) if odd else None
         if plain:
             text = F.array(self._text() if self.case_sensitive else folded(self._text()))
@@ -149,7 +155,10 @@ class FilterSpec:
         p = self.patterns()
         if not p:
             return F.array().cast("array<string>")
-        words = [k.lower() if k.isascii() and not self.case_sensitive else None for k in self.keywords] + [None] * len(self.regexes)
+        many = len(self.keywords) > FEW and not self.case_sensitive
+        if not many:
+            return F.array_compact(F.array(*[F.when(self._text().rlike(x), F.regexp_extract(self._text(), x, 0)) for x in p]))
+        words = [k.lower() if k.isascii() else None for k in self.keywords] + [None] * len(self.regexes)
 
         def each(x: Column) -> Column:
             test = lambda k, w: F.contains(x["f"], F.lit(w)) if w is not None else x["t"].rlike(k)
