@@ -7,18 +7,21 @@ what the operators read out of them is compared with the tables.
 from __future__ import annotations
 
 
+import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.disclosure import _FLAGS, _WEB, DISCLAIMERS, LIMITATIONS, capabilities, disclosures
-from ..operators import activity, filters, graph, media, pages, proxies
+from ..operators import activity, continuity, filters, graph, media, pages, proxies
 from ..sources import messages as store
 from ..sources import sinks
 from ..sources.tables import table
+from ..streaming import landing
 from . import scratch
-from .channel_queries import _KEPT, _NEWEST, _TOTAL, _kept, _m, _q
+from .channel_queries import _FOLD, _KEPT, _NEWEST, _TOTAL, _kept, _m, _q
+from .channel_queries import ORACLES as ORACLES_OF
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -377,3 +380,109 @@ def keyword_file(spark, sf_dir):
     return spark.createDataFrame(rows, "line int, keyword string, pattern string")
 
 
+# -- statements, graph files, manifests ---------------------------------------------------------------
+
+
+def _told_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return continuity.metrics(continuity.continuity(table(spark, sf_dir, "observations"))).select("channel_id", "gap_ratio", "deletion_rate", "edit_rate", "coverage_rate", "start_us", "end_us")
+
+
+def _statements(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        rows = b.to_pylist()
+        text = [continuity.statement(str(r["channel_id"]), r | {"start": sinks._moment(r["start_us"]), "end": sinks._moment(r["end_us"])}) for r in rows]
+        yield pa.RecordBatch.from_arrays([b.column("channel_id"), pa.array(text, pa.string()), pa.array([round(r["coverage_rate"], 4) for r in rows], pa.float64())], ["channel_id", "statement", "coverage_rate"])
+
+
+_METRICS = ORACLES_OF["bias_metrics"]
+_DAYS = "strftime(make_timestamp({}), '%Y-%m-%d')"
+_PART = "printf('%.1f%%', {} * 100)"
+
+
+@query(
+    f"""SELECT channel_id, concat('Data collection for channel ''', channel_id, ''' ', CASE WHEN start_us IS NOT NULL AND end_us IS NOT NULL THEN concat('occurred between ', {_DAYS.format("start_us")}, ' and ', {_DAYS.format("end_us")}, '. ') ELSE '' END,
+ 'Approximately ', {_PART.format("gap_ratio")}, ' of message IDs within the observed range were unavailable at collection time, consistent with deletion or access restrictions. ',
+ CASE WHEN deletion_rate > 0 THEN concat('The confirmed deletion rate was ', {_PART.format("deletion_rate")}, '. ') ELSE '' END,
+ CASE WHEN edit_rate > 0 THEN concat('Approximately ', {_PART.format("edit_rate")}, ' of collected messages showed evidence of post-publication editing. ') ELSE '' END) AS statement, round(coverage_rate, 4) AS coverage_rate FROM ({_METRICS}) q"""
+)
+def bias_statements(spark, sf_dir):
+    """The methodology statement of every channel, and its coverage to four places."""
+    return _told_metrics(spark, sf_dir).mapInArrow(_statements, "channel_id long, statement string, coverage_rate double")
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = graph.stored(graph.edges(_kept(spark, sf_dir), 500))
+    dim = store.upserted_channels(table(spark, sf_dir, "channels"), ["scraped_at", "version", "title"])
+    return graph.resolved(graph.nodes(e), dim), e
+
+
+_EDGE_ROWS = f"SELECT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target, CAST(weight AS BIGINT) AS weight FROM ({_NEWEST}) e"
+
+
+def _xml_edges(spark: SparkSession, body: bytes, weight) -> DataFrame:
+    found = [x for x in ET.fromstring(body).iter() if x.tag.rsplit("}", 1)[-1] == "edge"]
+    return spark.createDataFrame([(int(x.get("source")), int(x.get("target")), int(weight(x))) for x in found], "source long, target long, weight long")
+
+
+@query(_EDGE_ROWS)
+def graphml_edges(spark, sf_dir):
+    """The edges of the exported GraphML document; a graph of channels passes through the driver, as its formats are one document."""
+    n, e = sinks._graph_rows(*_graph(spark, sf_dir))
+    return _xml_edges(spark, graph.graphml(n, e), lambda x: x[0].text)
+
+
+@query(_EDGE_ROWS)
+def gexf_edges(spark, sf_dir):
+    n, e = sinks._graph_rows(*_graph(spark, sf_dir))
+    return _xml_edges(spark, graph.gexf(n, e), lambda x: x.get("weight"))
+
+
+@query("SELECT * FROM (VALUES (2, 'full', 5, 1, 0, true)) v(channels, scrape_mode, collected, errors, flood_waits, ended)")
+def run_manifest(spark, sf_dir):
+    """A run's manifest as its row says afterwards; ending it twice writes one row."""
+    path = scratch.scratch_path(spark, "runs")
+    with sinks.Run(spark, path, ["a", "b"], "full", limit=5) as run:
+        run.count(messages_collected=5, errors_encountered=1)
+    run.end()
+    r = store.run_records(spark.read.parquet(path))
+    return r.select(F.col("n_channels").cast("int").alias("channels"), "scrape_mode", F.col("collected").cast("int").alias("collected"), F.col("errors").cast("int").alias("errors"), F.col("flood_waits").cast("int").alias("flood_waits"), F.col("created_us").isNotNull().alias("ended"))
+
+
+# -- streams ------------------------------------------------------------------------------------------
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages as a stream of files, written to a landing folder first."""
+    m = _m(spark, sf_dir)
+    path = scratch.scratch_path(spark, "landing")
+    m.repartition(3, F.pmod(F.xxhash64("delivery_id"), F.lit(3))).write.parquet(path)
+    return landing.messages(spark, path, m.schema, files=1)
+
+
+def _done(stream_writer) -> None:
+    q = stream_writer.trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+@query("SELECT DISTINCT channel_id, message_id FROM messages WHERE channel_id IS NOT NULL AND message_id IS NOT NULL AND scraped_at IS NOT NULL")
+def stream_first_arrivals(spark, sf_dir):
+    """Messages of a stream without later copies; the state is bounded by the watermark, which is wider than the tables' span here."""
+    s = _stream(spark, sf_dir).where("scraped_at is not null").withColumn("scraped_at", F.col("scraped_at").cast("timestamp"))
+    path = scratch.scratch_path(spark, "arrivals")
+    _done(landing.first_arrivals(s, "3650 days").select("channel_id", "message_id").writeStream.format("parquet").option("path", path).option("checkpointLocation", scratch.scratch_path(spark, "state")))
+    return spark.read.schema("channel_id long, message_id long").parquet(path)
+
+
+_SEEN = "SELECT channel_id, message_id, scraped_at AS observed_ts, 1 AS seq, 'O' AS kind, text, true AS check_edit, CAST(NULL AS VARCHAR) AS gap_status FROM messages WHERE channel_id IS NOT NULL AND message_id IS NOT NULL"
+
+
+@query(_FOLD.replace("FROM observations", f"FROM ({_SEEN}) o") + " SELECT channel_id, message_id, status, observed, first_seen_us, last_checked_us FROM cont")
+def stream_continuity(spark, sf_dir):
+    """Continuity as three micro-batches leave it, each computing again what it touched."""
+    store_, log, state = (scratch.scratch_path(spark, n) for n in ("store", "log", "live"))
+    _done(landing.ingest(_stream(spark, sf_dir), store_, log, scratch.scratch_path(spark, "progress"), state))
+    if not scratch.exists(spark, state):  # no file, no batch
+        return continuity.continuity(landing.observations(_m(spark, sf_dir))).select("channel_id", "message_id", "status", "observed", "first_seen_us", "last_checked_us")
+    return landing.live_status(spark, state).select("channel_id", "message_id", "status", "observed", "first_seen_us", "last_checked_us")
