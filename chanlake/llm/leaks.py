@@ -5,8 +5,8 @@ suffix order by prefix doubling, the Burrows-Wheeler transform in a wavelet matr
 ``STRIDE``-th text position as a sample. All windows of ``words`` consecutive tokens of the test passages
 are searched backwards at once; occurrences are located by walking to the next sampled suffix. Copies of one text in a shard are indexed once.
 
-The test items are a stated query set. They are sent to all tasks in blocks of at most ``BLOCK`` windows, each block
-searched against all documents.
+The test items are a stated query set. They are sent to all tasks in blocks of at most ``BLOCK`` windows; every shard's
+index is built once and searched for each block in turn.
 
 Defined results: a null or empty text contains nothing, and passages of fewer than ``words`` tokens can't be found.
 Repeated rows of a document or an item change nothing.
@@ -178,17 +178,27 @@ def _windows(items: DataFrame, item_id: str, fields: Sequence[str], words: int)
         yield list(at), list(at.values())
 
 
-def _found(sent, words: int, spans: bool):
-    phrases_items = sent
+def _found(sent: list, words: int, spans: bool):
+    """``sent``: blocks of windows. A shard's index is built once and searched for one block after the other, of which one is in memory."""
+
+    def blocks() -> Iterator[tuple[list, list]]:
+        for b in sent:
+            yield b.value
+            if len(sent) > 1:
+                b.__dict__.pop("_value", None)  # read again from the worker's disk for the next shard
 
     def shard(ids: list, seqs: list[list[str]], texts: list[str]) -> Iterator[pa.RecordBatch]:
-        phrases, owners = phrases_items.value
         unique: dict[tuple[str, ...], list[int]] = {}
         for k, s in enumerate(seqs):
             unique.setdefault(tuple(s), []).append(k)
         keys = list(unique)
         index = FMIndex(keys)
-        which, pos = index.search(phrases)
+        hits, owned = [], []
+        for phrases, owners in blocks():
+            which, at = index.search(phrases)
+            hits.append(at)
+            owned += [owners[w] for w in which.tolist()]
+        pos = np.concatenate(hits)
         doc = np.searchsorted(index.starts, pos, side="right") - 1
         if spans:
             order = np.lexsort((pos, doc))
@@ -209,7 +219,7 @@ def _found(sent, words: int, spans: bool):
             cols = list(zip(*out)) or [()] * 6
             yield from emit(pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("doc", "h", "first", "last", "begin", "end"), cols)}))
             return
-        pairs = {(ids[k], i) for w, d in zip(which.tolist(), doc.tolist()) for i in owners[w] for k in unique[keys[d]]}
+        pairs = {(ids[k], i) for own, d in zip(owned, doc.tolist()) for i in own for k in unique[keys[d]]}
         cols = list(zip(*sorted(pairs))) or [()] * 2
         yield from emit(pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("doc", "item"), cols)}))
 
@@ -240,12 +250,8 @@ def _found(sent, words: int, spans: bool):
 def _search(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, fields: Sequence[str], words: int, spans: bool) -> DataFrame:
     src = docs.select(docs[doc_id].cast("long").alias("doc"), docs[text].cast("string").alias("text"))
     schema = "doc long, h long, first long, last long, begin long, end long" if spans else "doc long, item long"
-    out = None
-    for block in _windows(items, item_id, fields, words):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-        part = src.mapInArrow(_found(sent, words, spans), schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    sent = [docs.sparkSession.sparkContext.broadcast(block) for block in _windows(items, item_id, fields, words)]
+    return src.mapInArrow(_found(sent, words, spans), schema) if sent else docs.sparkSession.createDataFrame([], schema)
 
 
 def leaked(docs: DataFrame, items: DataFrame, words: int = 12, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", fields: Sequence[str] = ("passage", "question")) -> DataFrame:
